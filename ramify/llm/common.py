@@ -83,19 +83,18 @@ def bounded_arrow(spark: SparkSession) -> None:
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with their UTF-8 bytes and offsets. A slice holds up to `most` bytes, or one text. Null: empty."""
-    col = batch.column(batch.schema.get_field_index(column))
-    lengths = np.zeros(len(col), np.int64)
-    if len(col):
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False), np.int64)
-    ends = np.cumsum(lengths)
+    k = batch.schema.get_field_index(column)
+    col = batch.column(k).fill_null("")
+    if not len(col):
+        return
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    _, where, data = col.buffers()
+    offsets = np.frombuffer(where, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(col):
-        base = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
-        part = batch.slice(at, stop - at)
-        text = b"".join(x.encode() for x in part.column(batch.schema.get_field_index(column)).to_pylist() if x)
-        offsets = np.concatenate(([0], np.cumsum(lengths[at:stop])))
-        yield part, np.frombuffer(text, np.uint8), offsets
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at), data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
         at = stop
 
 
