@@ -11,7 +11,7 @@ prefix costs more list entries, but l shared shingles leave fewer candidates to
 which need l shared shingles; long lists link each entry with the list's first; 5. candidates form families, which
 are dealt in blocks; a task counts shared prefix shingles of its two blocks, verifies the pairs that reach l on the
 whole sets, and returns a spanning forest of the links, so no group is expanded into pairs; 6. components.
-A family over `most_family` documents is dealt list by list instead, where that means fewer comparisons.
+A family whose lists (or pairs) come to fewer rows than its blocks is dealt by those instead.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words than the
 shingle width has one shingle, its whole sequence; rows with a null id get a null component and link with nothing;
@@ -36,7 +36,7 @@ LEVELS = 4
 #: The sketch has 2^SKETCH_BITS counters, dealt in blocks of 2^BLOCK_BITS.
 SKETCH_BITS, BLOCK_BITS = 21, 14
 #: Posting lists up to this length give pairs; longer ones give a link to their first entry.
-SHORT_LIST = 16
+SHORT_LIST = 32
 #: Documents of a block in a family.
 BLOCK = 192
 
@@ -200,8 +200,24 @@ def texts_of(docs: DataFrame, units: DataFrame, n_bits: int = 1 << 24) -> DataFr
     return some.join(units, "id")
 
 
+def _families(scratch: Scratch, edges: DataFrame, keys: DataFrame, tag: str, kind: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Components of candidate edges as units (id, unit, size), but for those that cost more rows than their keys do.
+
+    keys: (key, cost, id), the other way to deal a component, with an id in it. Returns the units, and the keys that stay.
+    """
+    roots = scratch.write(components(scratch, edges, tag), f"{tag}-roots")
+    members = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+    sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    keyed = keys.join(members, "id").groupBy("root").agg(F.sum("cost").alias("cost"))
+    choice = sizes.join(keyed, "root").select("root", "size", (F.col("size") * F.ceil(F.col("size") / BLOCK) <= F.col("cost")).alias("whole"))
+    choice = scratch.write(choice, f"{tag}-choice")
+    units = members.join(choice.where("whole"), "root").select("id", F.struct(F.lit(kind).alias("kind"), F.col("root").alias("key")).alias("unit"), "size")
+    apart = members.join(choice.where("NOT whole"), "root").select("id")
+    return units, keys.join(apart, "id").select("key")
+
+
 def link_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, most_family: int = 20_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row per row of docs: id_col, n_shingles long, component_id long (least id reachable by links, itself included)."""
     spark = docs.sparkSession
@@ -228,39 +244,34 @@ def link_components(
     level = F.array_min(F.filter(F.array(*by_level), lambda x: x["l"] <= F.greatest(F.lit(1), room)))["l"]
     levels = scratch.write(cost.select("id", level.alias("l")), "levels")
 
-    # short lists: pairs with l shared shingles, where shingles of long lists may count too
-    entries = lists.join(levels, "id").where("level <= l OR level <= %d" % LEVELS)
-    entries = entries.withColumn("long", F.col("df") > SHORT_LIST)
-    n_long = F.sum(F.col("long").cast("int")).over(W.partitionBy("id"))
-    entries = scratch.write(entries.withColumn("n_long", n_long), "entries")
-    short = entries.where("NOT long").select("token", "id", "n", "level", "l", "n_long")
+    entries = scratch.write(lists.join(levels, "id").where(f"level <= {LEVELS}"), "entries")
+
+    # short lists: pairs that share l shingles of them; what also shares one of a long list is met there
+    short = entries.where(F.col("df") <= SHORT_LIST).select("token", "id", "n", "level", "l")
     y = short.select(*(F.col(c).alias(f"y_{c}") for c in short.columns))
     near = (F.col("token") == F.col("y_token")) & (F.struct("n", "id") > F.struct("y_n", "y_id")) & (100 * F.col("y_n") >= percent * F.col("n"))
     # of equal sizes either may be the probe: the smaller l holds
     probe = F.when(F.col("n") == F.col("y_n"), F.least("l", "y_l")).otherwise(F.col("l"))
     pairs = short.join(y, near).withColumn("need", probe).where("level <= need AND y_level <= need")
-    pairs = pairs.groupBy("id", "y_id").agg(F.count("*").alias("m"), F.first("need").alias("need"), F.first(F.least("n_long", "y_n_long")).alias("more"))
-    pairs = pairs.where("m + more >= need").select(F.col("id").alias("a"), F.col("y_id").alias("b"))
-
-    # long lists: each entry with the first
-    long = entries.where("long")
-    first = long.groupBy("token").agg(F.min("id").alias("b"))
-    stars = long.select("token", F.col("id").alias("a")).join(first, "token").where("a <> b").select("a", "b")
-
-    candidates = scratch.write(pairs.unionByName(stars).distinct(), "candidates")
-    roots = scratch.write(components(scratch, candidates, "families"), "roots")
-    members = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
-    sizes = scratch.write(members.groupBy("root").agg(F.count("*").alias("size")), "sizes")
-
-    # units of blocks: families, or the posting lists of those that are too large
-    small = members.join(sizes.where(F.col("size") <= most_family), "root").select("id", F.struct(F.lit(0).alias("kind"), F.col("root").alias("key")).alias("unit"), "size")
-    units = small
-    large = sizes.where(F.col("size") > most_family)
-    if not large.isEmpty():
-        inside = members.join(large.select("root"), "root").select("id")
-        by_list = entries.join(inside, "id").select("id", F.struct(F.lit(1).alias("kind"), F.col("token").alias("key")).alias("unit"), F.col("df").alias("size"))
-        units = units.unionByName(by_list)
-    units = units.join(levels, "id", "left").select("id", F.coalesce("l", F.lit(1)).alias("level"), "unit", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    pairs = pairs.groupBy("id", "y_id").agg(F.count("*").alias("m"), F.first("need").alias("need")).where("m >= need")
+    pairs = scratch.write(pairs.select(F.col("id").alias("a"), F.col("y_id").alias("b")), "pairs")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    families, fallback = _families(scratch, pairs, pairs.groupBy("b").agg((F.count("*") + 1).alias("cost")).select(F.col("b").alias("key"), "cost", F.col("b").alias("id")), "short")
+    stars_of = pairs.select(F.col("a").alias("id"), F.col("b").alias("key")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("key")).distinct())
+    units = [families, stars_of.join(fallback, "key", "left_semi").select("id", F.struct(F.lit(1).alias("kind"), "key").alias("unit")).withColumn("size", F.lit(None).cast("long"))]
+
+    # long lists: the families that they form, or the lists themselves, whichever means fewer rows
+    long = entries.where(F.col("df") > SHORT_LIST)
+    first = long.groupBy("token").agg(F.min("id").alias("b"), F.count("*").alias("size"))
+    stars = long.select("token", F.col("id").alias("a")).join(first, "token").where("a <> b").select("a", "b").distinct()
+    families, fallback = _families(scratch, stars, first.select(F.col("token").alias("key"), (F.col("size") * blocks).alias("cost"), F.col("b").alias("id")), "long", kind=2)
+    units += [families, long.select("id", F.col("token").alias("key"), F.col("df").alias("size")).join(fallback, "key", "left_semi").select("id", F.struct(F.lit(3).alias("kind"), "key").alias("unit"), "size")]
+
+    # blocks of at most BLOCK documents or so; each two blocks of a unit meet in one task
+    units = units[0].unionByName(units[1]).unionByName(units[2]).unionByName(units[3])
+    stars_size = units.where("size IS NULL").groupBy("unit").agg(F.count("*").alias("n_star"))
+    units = units.join(stars_size, "unit", "left").withColumn("size", F.coalesce("size", "n_star"))
+    units = units.join(levels, "id", "left").select("id", F.coalesce("l", F.lit(1)).alias("level"), "unit", blocks.cast("int").alias("blocks"))
     units = units.withColumn("block", F.expr("cast(pmod(xxhash64(id, 7), blocks) AS int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = units.select("id", "level", "unit", "block", other)
