@@ -14,8 +14,10 @@ table gives an empty result; columns beyond id and text are ignored. Sequence nu
 from __future__ import annotations
 
 import os
+import re
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +28,28 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, bounded_arrow
 
-#: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+#: Pre-tokens that a worker's cache holds before it starts anew.
+CACHE_TOKENS = 300_000
 
+#: Texts of these characters alone need no normalisation but lower case, and their pre-tokens are plain to find:
+#: ASCII but for control characters other than white space, and the accented letters of Latin-1.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: The pre-tokens of the tokenizer file, for lower-case text of PLAIN's characters.
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
-class WordCache(dict):
-    """Word (bytes) to its ids as little-endian uint32 bytes.
 
-    The tokenizer's pre-tokens never reach across ASCII white space, so a text's ids are those of its words in order.
+def _byte_names() -> list[str]:
+    """The characters by which byte-level vocabularies name bytes: printable Latin-1 stays, the rest follow from 256."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+class TokenCache(dict):
+    """Pre-token to its ids as little-endian uint32 bytes; ids() gives those of a whole text.
+
+    Plain texts are cut by PRE_TOKEN and only new pre-tokens go to the vocabulary's merges. Other texts are cut at
+    ASCII white space, which no pre-token crosses, and words that aren't plain go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -41,25 +57,37 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.names = _byte_names()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > CACHE_WORDS:
+    def __missing__(self, token: str) -> bytes:
+        name = token if token.isascii() else "".join(self.names[b] for b in token.encode())
+        if len(self) > CACHE_TOKENS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        ids = self[token] = array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
         return ids
 
+    def ids(self, text: str) -> bytes:
+        if not any(s in text for s in self.special):
+            if PLAIN.fullmatch(text):
+                return b"".join(map(self.__getitem__, PRE_TOKEN.findall(text.lower())))
+            if not text.isascii():
+                return b"".join(self.ids(w) if PLAIN.fullmatch(w) else self._encode(w) for w in ASCII_SPACE.split(text) if w)
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+ASCII_SPACE = re.compile(r"[ \t-\r]+")
+
 
-def _cache(path: str) -> WordCache:
+def _cache(path: str) -> TokenCache:
     """One cache for a worker process, which serves many tasks."""
-    held = sys.__dict__.setdefault("_ramify_words", {})
+    held = sys.__dict__.setdefault("_ramify_tokens", {})
     if path not in held:
-        held[path] = WordCache(path)
+        held[path] = TokenCache(path)
     return held[path]
 
 
@@ -70,11 +98,9 @@ def _pieces(path: str, seq_len: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
         for batch in batches:
-            split = [t.encode().split() if t else [] for t in batch.column(1).to_pylist()]
-            cache.learn(set().union(*split))
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, words in enumerate(split):
-                whole = b"".join(map(cache.__getitem__, words)) + end
+            for i, text in enumerate(batch.column(1)):
+                whole = cache.ids(text.as_py() or "") + end
                 for k in range(0, len(whole), 4 * seq_len):
                     part = whole[k : k + 4 * seq_len]
                     at.append(i), piece.append(k // (4 * seq_len)), start.append(k // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
