@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ngram_join, packing, quality_rules
+from . import chat_format, ngram_join, packing, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql("SELECT -7L AS conv_id, t AS turn, if(t = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM (SELECT explode(array(0L, 1L)) AS t)")
@@ -43,8 +48,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op9_chat_format": op9_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+        ), g AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN g.last IS NULL OR g.last = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN g.last <> p.page_id THEN g.last END AS refers_to
+        FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000
+    """,
+    "op9_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), f AS (
+            SELECT *, length('<s>[INST]' || role || '[/INST]' || regexp_replace(regexp_replace(replace(text, '~', '~0'), '<(s>|/s>)', '~1\1', 'g'), '\[(INST\]|/INST\])', '~2\1', 'g') || '</s>') AS n,
+                   row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS k
+            FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+        ), r AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM f)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(upto) FILTER (WHERE role = 'assistant' OR i = k)::BIGINT AS formatted_chars
+        FROM r GROUP BY conv_id
+    """,
 }
