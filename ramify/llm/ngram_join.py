@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, bounded_arrow, components, local_roots, mix, shingles_of, text_slices, words_of
+from .common import Scratch, bounded_arrow, components, local_roots, mix, shingles_of, text_slices, texts_of, words_of
 
 LEVELS = 4
 #: The sketch has 2^SKETCH_BITS counters, dealt in blocks of 2^BLOCK_BITS.
@@ -177,29 +177,6 @@ def _verify(width: int, percent: int, heavy):
     return run
 
 
-def _maybe(bits: dict[int, int], n_bits: int):
-    """Rows whose h may be among the kept ids, by a bit table of fixed size."""
-    table = np.zeros(n_bits >> 6, np.uint64)
-    if bits:
-        table[np.fromiter(bits.keys(), np.int64)] = np.fromiter(bits.values(), np.int64).view(np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(2).to_numpy() & (n_bits - 1)
-            yield batch.filter(pa.array((table[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1)).select([0, 1])
-
-    return run
-
-
-def texts_of(docs: DataFrame, units: DataFrame, n_bits: int = 1 << 24) -> DataFrame:
-    """docs (id, text) joined with units on id. A bit table (2 MB at most) drops most other texts before the shuffle."""
-    h = F.xxhash64("id").bitwiseAND(F.lit(n_bits - 1))
-    words = units.select(h.alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("b"))
-    bits = {r["w"]: r["b"] for r in words.toLocalIterator()}
-    some = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_maybe(bits, n_bits), "id long, text string")
-    return some.join(units, "id")
-
-
 def _families(scratch: Scratch, edges: DataFrame, keys: DataFrame, tag: str, kind: int = 0) -> tuple[DataFrame, DataFrame]:
     """Components of candidate edges as units (id, unit, size), but for those that cost more rows than their keys do.
 
