@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, ngram_join, packing, pii, quality_classifier, quality_rules, warc
+from . import chat_format, line_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, source_mix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,16 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_judged").alias("n_judged_lines"), F.col("_removed").alias("n_removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = source_mix.mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_factor").alias("factor"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.sql("SELECT -7L AS conv_id, t AS turn, if(t = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM (SELECT explode(array(0L, 1L)) AS t)")
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_pii": op5_pii,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_source_mix": op8_source_mix,
     "op9_chat_format": op9_chat_format,
 }
 
