@@ -33,8 +33,10 @@ from pyspark.sql import Window as W
 from .common import Scratch, bounded_arrow, components, local_roots, mix, shingles_of, text_slices, texts_of, words_of
 
 LEVELS = 4
-#: The sketch has 2^SKETCH_BITS counters, dealt in blocks of 2^BLOCK_BITS.
-SKETCH_BITS, BLOCK_BITS = 21, 14
+#: Counters of the sketch, summed in blocks of 2^BLOCK_BITS. The lowest quarter of the hashes, from which nearly all
+#: prefixes come, has 2^FINE_BITS of them and the rest 2^COARSE_BITS.
+FINE_BITS, COARSE_BITS, BLOCK_BITS = 22, 20, 14
+N_COUNTERS = (1 << FINE_BITS) + (1 << COARSE_BITS)
 #: Posting lists up to this length give pairs; longer ones give a link to their first entry.
 SHORT_LIST = 32
 #: Documents of a block in a family.
@@ -49,17 +51,23 @@ def overlap(n, percent: int):
 # ---------------------------------------------------------------- order by counts
 
 
+def counter_of(value: np.ndarray) -> np.ndarray:
+    fine = (value >> np.uint64(62 - FINE_BITS)).astype(np.int64)
+    return np.where(fine < 1 << FINE_BITS, fine, (1 << FINE_BITS) + (value >> np.uint64(64 - COARSE_BITS)).astype(np.int64))
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(N_COUNTERS, np.uint32)
         for batch in batches:
             for part, data, offsets in text_slices(batch):
                 h, doc, _, _ = words_of(data, offsets)
                 value, _ = shingles_of(h, doc, part.num_rows, width)
-                counts += np.bincount((value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                at, n = np.unique(counter_of(value), return_counts=True)
+                counts[at] += n.astype(np.uint32)
         if counts.any():
             blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([zlib.compress(b.astype(np.uint32).tobytes(), 1) for b in blocks], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], ["block", "counts"])
 
     return run
 
@@ -78,7 +86,7 @@ def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def heavy_counters(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counters far above the mean, and their class (eighths of a power of two). At most 2^SKETCH_BITS, however large the input."""
+    """Counters far above the mean, and their class (eighths of a power of two). At most N_COUNTERS, however large the input."""
     rows = docs.select("text").mapInArrow(_sketch(width), "block long, counts binary").repartition("block").mapInArrow(_heavy, "counter long, n long").toPandas()
     rows = rows.sort_values("counter")
     return rows["counter"].to_numpy(np.int64), (8 * np.log2(np.maximum(rows["n"].to_numpy(np.float64), 2))).astype(np.int16)
@@ -96,7 +104,7 @@ class Sets:
         counters, classes = heavy
         kind = np.zeros(len(value), np.int16)
         if len(counters):
-            c = (value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            c = counter_of(value)
             at = np.minimum(np.searchsorted(counters, c), len(counters) - 1)
             kind = np.where(counters[at] == c, classes[at], 0).astype(np.int16)
         order = np.lexsort((value, kind, owner))  # within a counter by the whole hash
