@@ -144,16 +144,19 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: float, error: floa
 
 
 def apply_rules(
-    docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: float = 0.02, error: float = 0.05, least: int = 300, most_strata: int = 100, min_words: int = 10, max_repeat: int = 20
+    docs: DataFrame, labels: DataFrame, *, keep_columns: tuple[str, ...] = (), stratum: str = "lang", risk: float = 0.02, error: float = 0.05, least: int = 300, most_strata: int = 100, min_words: int = 10, max_repeat: int = 20
 ) -> DataFrame:
     """doc_id, stratum, the counts, base_failed, kept, failed_rule (the first rule that rejects, null if none).
 
+    keep_columns: columns of docs to carry along with the counts (the pipeline's, so that no join is needed).
     risk: the share of good documents a stratum may lose to the learnt rules; error: the chance that one loses more.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    named = docs.select("doc_id", "text", F.concat(F.lit("="), F.coalesce(F.col(stratum).cast("string"), F.lit(""))).alias("stratum"))
-    counts = scratch.write(base_counts(named, keep=("doc_id", "stratum")), "quality-counts")
+    held = tuple(dict.fromkeys(("doc_id", *keep_columns)))
+    key = F.concat(F.lit("="), F.coalesce(F.col(stratum).cast("string"), F.lit(""))).alias("_stratum")
+    named = docs.select("doc_id", *(c for c in held if c != "doc_id"), F.col("text").alias("_text"), key)
+    counts = scratch.write(base_counts(named, text="_text", keep=(*held, "_stratum")).withColumnRenamed("_stratum", "stratum"), "quality-counts")
     cutoffs = learn_cutoffs(counts, labels.select("doc_id", "quality"), risk, error, least, most_strata)
     own = sorted({s for s, _ in cutoffs if s is not None})
     failed = F.when(F.col("n_words") < min_words, "few_words").when(100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"), "repetition")
