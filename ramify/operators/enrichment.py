@@ -19,19 +19,19 @@ def mf_score(facts: DataFrame, *, entity: str, term: str) -> DataFrame:
     Facts are (entity, term), propagated if they shall be; a term that all entities have weighs nothing.
     """
     facts = facts.select(entity, term).distinct()
-    total = facts.agg(F.count_distinct(entity).alias("N"))
+    total = facts.agg(F.count_distinct(entity).alias("_total"))
     per_term = facts.groupBy(term).agg(F.count("*").alias("n"))
-    weights = per_term.crossJoin(F.broadcast(total)).select(term, F.when((F.col("n") >= 1) & (F.col("n") < F.col("N")), 1.0 / (F.col("n") * (F.col("N") - F.col("n")))).otherwise(0.0).alias("w"))
+    weights = per_term.crossJoin(F.broadcast(total)).select(term, F.when((F.col("n") >= 1) & (F.col("n") < F.col("_total")), 1.0 / (F.col("n") * (F.col("_total") - F.col("n")))).otherwise(0.0).alias("w"))
     return facts.join(weights, term).groupBy(entity).agg(F.count("*").alias("n_annotations"), F.sum("w").alias("mf_score"))
 
 
 def mf_rank(scores: DataFrame, *, entity: str, score: str = "mf_score", places: int = 12) -> DataFrame:
     """scores with mf_rank (1 is highest; ties by entity) and mf_percentile = (N - rank + 1) / N. Scores compare rounded, as sums have no order."""
-    n = scores.agg(F.count("*").alias("_N"))
+    n = scores.agg(F.count("*").alias("_all"))
     if scores.limit(2).count() < 2:
         raise EngineError("mf_rank", "it takes two entities or more")
     ranked = total_rank(scores.withColumn("_s", F.round(score, places)), [F.desc("_s"), F.asc(entity)], "mf_rank").drop("_s")
-    return ranked.crossJoin(F.broadcast(n)).withColumn("mf_percentile", (F.col("_N") - F.col("mf_rank") + 1) / F.col("_N")).drop("_N")
+    return ranked.crossJoin(F.broadcast(n)).withColumn("mf_percentile", (F.col("_all") - F.col("mf_rank") + 1) / F.col("_all")).drop("_all")
 
 
 def bh_qvalues(df: DataFrame, p: str = "pvalue", q: str = "qvalue", by: tuple[str, ...] = ()) -> DataFrame:
@@ -95,13 +95,13 @@ def ora(
     """
     bg = background.select(F.col(member).alias("m")).where("m IS NOT NULL").distinct()
     marked = bg.join(hits.select(F.col(member).alias("m")).distinct().withColumn("hit", F.lit(1)), "m", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    counts = marked.agg(F.count("*").alias("N"), F.sum("hit").alias("n"))
+    counts = marked.agg(F.count("*").alias("_total"), F.sum("hit").alias("n"))
     if mf is not None:
         ranked = mf.select(F.col(member).alias("m"), "mf_percentile").groupBy("m").agg(F.max("mf_percentile").alias("mf_percentile")).join(bg, "m", "left_semi")
         n = counts.first()["n"] or 0
         top = ranked.orderBy(F.desc("mf_percentile"), "m").limit(int(n)).select("m").withColumn("top", F.lit(1))
         marked = marked.join(top, "m", "left").withColumn("top", F.coalesce("top", F.lit(0)))
-        counts = marked.agg(F.count("*").alias("N"), F.sum("hit").alias("n"), F.sum("top").alias("n_top"))
+        counts = marked.agg(F.count("*").alias("_total"), F.sum("hit").alias("n"), F.sum("top").alias("n_top"))
     else:
         marked = marked.withColumn("top", F.lit(0))
     names = [name_col] if name_col else []
@@ -111,15 +111,15 @@ def ora(
     )
     per = per.where(F.col("set_size_after_filter").between(min_size, max_size)).crossJoin(F.broadcast(counts))
     K = F.col("set_size_after_filter")
-    expected = K * F.col("n") / F.col("N")
+    expected = K * F.col("n") / F.col("_total")
     out = per.withColumns({
         "expected_hits": expected,
         "fold_enrichment": F.when(expected > 0, F.col("n_hits_in_set") / expected),
-        "pvalue": hypergeom_sf(F.col("N"), K, F.col("n"), F.col("n_hits_in_set")),
+        "pvalue": hypergeom_sf(F.col("_total"), K, F.col("n"), F.col("n_hits_in_set")),
     })
     cols = ["set_id", *names, "set_size", "set_size_after_filter", "n_hits_in_set", "expected_hits", "fold_enrichment", "pvalue", "qvalue"]
     if mf is not None:
-        out = out.withColumn("mf_baseline_n_hits_in_set", F.col("n_top_in_set")).withColumn("mf_baseline_pvalue", hypergeom_sf(F.col("N"), K, F.col("n_top"), F.col("n_top_in_set")))
+        out = out.withColumn("mf_baseline_n_hits_in_set", F.col("n_top_in_set")).withColumn("mf_baseline_pvalue", hypergeom_sf(F.col("_total"), K, F.col("n_top"), F.col("n_top_in_set")))
         out = bh_qvalues(out, "mf_baseline_pvalue", "mf_baseline_qvalue")
         cols += ["mf_baseline_n_hits_in_set", "mf_baseline_pvalue", "mf_baseline_qvalue"]
     out = bh_qvalues(out, "pvalue", "qvalue").select(*cols)
