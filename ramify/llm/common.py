@@ -183,27 +183,32 @@ def shingles_of(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int = 5
 # ---------------------------------------------------------------- texts of some ids
 
 
-def _maybe(bits: dict[int, int], n_bits: int):
-    """Rows whose h may be among the kept ids, by a bit table of fixed size."""
-    table = np.zeros(n_bits >> 6, np.uint64)
-    if bits:
-        table[np.fromiter(bits.keys(), np.int64)] = np.fromiter(bits.values(), np.int64).view(np.uint64)
+def id_bits(ids: DataFrame, n_bits: int = 1 << 24) -> np.ndarray:
+    """A bit table of fixed size (2 MB) over the hashes of ids (column id): who isn't in it isn't among them."""
+    h = F.xxhash64("id").bitwiseAND(F.lit(n_bits - 1))
+    words = ids.select(h.alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("b"))
+    table = np.zeros(n_bits >> 6, np.int64)
+    for r in words.toLocalIterator():
+        table[r["w"]] = r["b"]
+    return table.view(np.uint64)
+
+
+def by_bits(df: DataFrame, table: np.ndarray, inside: bool) -> DataFrame:
+    """Rows of df whose id may be in the table, or those whose id surely isn't."""
+    mask = len(table) * 64 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(2).to_numpy() & (n_bits - 1)
-            yield batch.filter(pa.array((table[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1)).select([0, 1])
+            h = batch.column(batch.num_columns - 1).to_numpy() & mask
+            hit = (table[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.filter(pa.array(hit == inside)).select(list(range(batch.num_columns - 1)))
 
-    return run
+    return df.withColumn("_h", F.xxhash64("id")).mapInArrow(run, df.schema)
 
 
-def texts_of(docs: DataFrame, units: DataFrame, n_bits: int = 1 << 24) -> DataFrame:
-    """docs (id, text) joined with units on id. A bit table (2 MB at most) drops most other texts before the shuffle."""
-    h = F.xxhash64("id").bitwiseAND(F.lit(n_bits - 1))
-    words = units.select(h.alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("b"))
-    bits = {r["w"]: r["b"] for r in words.toLocalIterator()}
-    some = docs.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(_maybe(bits, n_bits), "id long, text string")
-    return some.join(units, "id")
+def texts_of(docs: DataFrame, units: DataFrame) -> DataFrame:
+    """docs (id, text) joined with units on id. A bit table drops most other texts before the shuffle."""
+    return by_bits(docs.select("id", "text"), id_bits(units), True).join(units, "id")
 
 
 # ---------------------------------------------------------------- connected components

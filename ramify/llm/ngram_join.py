@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, bounded_arrow, components, local_roots, mix, shingles_of, text_slices, texts_of, words_of
+from .common import Scratch, bounded_arrow, by_bits, components, id_bits, local_roots, mix, shingles_of, text_slices, texts_of, words_of
 
 LEVELS = 4
 #: Counters of the sketch, summed in blocks of 2^BLOCK_BITS. The lowest quarter of the hashes, from which nearly all
@@ -212,15 +212,22 @@ def link_components(
     heavy = heavy_counters(docs, width)
 
     sig = scratch.write(docs.mapInArrow(_signatures(width, percent, heavy), "id long, n long, h1 long, h2 long, tokens array<long>"), "sig")
-    full = sig.where("n > 0 AND id IS NOT NULL")
+    narrow = scratch.write(sig.select("id", "n", "h1", "h2"), "narrow")
+    full = narrow.where("n > 0 AND id IS NOT NULL")
     sets = scratch.write(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "sets")
 
-    # posting lists of the representatives' prefixes, without those of one entry
+    # posting lists of the representatives' prefixes, without those of one entry; only ids that may be no
+    # representative are joined, so most prefixes move once
     p1 = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    post = full.join(sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.posexplode("tokens").alias("pos", "token"))
+    wide = sig.where("n > 0 AND id IS NOT NULL").select("id", "n", "tokens")
+    reps = sets.select(F.col("rep").alias("id")).distinct()
+    bits = id_bits(full.select("id").distinct().join(reps, "id", "left_anti"))
+    own = by_bits(wide, bits, False).unionByName(by_bits(wide, bits, True).join(reps, "id", "left_semi"))
+    post = own.select("id", "n", F.posexplode("tokens").alias("pos", "token"))
     post = post.select("id", "n", "token", F.greatest(F.lit(1), F.col("pos") - p1 + 2).cast("int").alias("level"))
     lists = post.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1")
     lists = scratch.write(lists, "lists")
+    scratch.drop("sig")
 
     # l of each document: entries to read, and candidates (at most entries / l) to verify
     cost = lists.groupBy("id", "n").agg(*(F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).alias(f"s{k}") for k in range(1, LEVELS + 1)))
@@ -231,6 +238,8 @@ def link_components(
 
     entries = scratch.write(lists.join(levels, "id").where(f"level <= {LEVELS}"), "entries")
 
+    scratch.drop("lists")
+
     # short lists: pairs that share l shingles of them; what also shares one of a long list is met there
     short = entries.where(F.col("df") <= SHORT_LIST).select("token", "id", "n", "level", "l")
     y = short.select(*(F.col(c).alias(f"y_{c}") for c in short.columns))
@@ -270,6 +279,6 @@ def link_components(
     same = full.select("id", "h1", "h2", "n").join(sets, ["h1", "h2", "n"]).where("id <> rep").select(F.col("id").alias("node"), F.col("rep").alias("root"))
     found = components(scratch, links.unionByName(same), "links")
     return (
-        sig.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
+        narrow.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     )
