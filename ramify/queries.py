@@ -459,7 +459,7 @@ ORACLE_SQL: dict[str, str] = {
         pm AS (SELECT m, sum(CASE WHEN c < t THEN 1.0::DOUBLE / (c * (t - c)) ELSE 0 END) AS mf FROM pf JOIN pt USING (term), pn GROUP BY m),
         top AS (SELECT m FROM pm WHERE m IN (SELECT m FROM bg) ORDER BY round(mf, 12) DESC, m LIMIT (SELECT n::BIGINT FROM tot)),
         tx AS (SELECT set_id, count(top.m) AS kt FROM s LEFT JOIN top USING (m) GROUP BY set_id),
-        tp AS (SELECT pv.set_id, k, kt, {_hyper_sql('big_n', 'k_all', '(SELECT count(*) FROM top)::DOUBLE', 'kt')} AS p FROM pv JOIN tx USING (set_id), tot)
+        tp AS (SELECT pv.set_id, k, kt, {_hyper_sql('big_n', 'k_all', 'nt', 'kt')} AS p FROM pv JOIN tx USING (set_id), tot, (SELECT count(*)::DOUBLE AS nt FROM top))
         SELECT set_id, k AS n_hits_in_set, kt AS mf_baseline_n_hits_in_set, round(p, 8) AS mf_baseline_pvalue, round(q, 8) AS mf_baseline_qvalue FROM ({_bh_sql('tp', 'p', 'q')})""",
     "closure": f"WITH RECURSIVE {CLOSURE_SQL} SELECT term::INT AS term, ancestor::INT AS ancestor FROM c",
     "ancestors": f"WITH RECURSIVE {CLOSURE_SQL} SELECT ancestor::INT AS term FROM c WHERE term = 42 UNION SELECT 42",
