@@ -97,7 +97,7 @@ def test_archives(spark, tmp_path):
     # one record by its place, from several frames and bundles
     where = f"file://{tmp_path}/w"
     rows = df.select(F.col("page_id").alias("id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    index = warc.write_archives(rows, where, frame_bytes=4000, bundle_bytes=2000).where("id IS NOT NULL").collect()
+    index = warc.write_archives(rows, where, frame_bytes=1500, bundle_bytes=3900).where("id IS NOT NULL").collect()
     assert len({x["bundle"] for x in index}) > 1 and max(x["frame"] for x in index) > 0
     for x in index[::7]:  # some
         fields, payload = warc.read_record(where, x["bundle"], x["frame"], x["offset"])
