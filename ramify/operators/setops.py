@@ -26,7 +26,7 @@ def compose(members: Sequence[tuple[str, DataFrame]], op: str, key: str, attribu
         missing = [c for c in (key, *attributes, *uniform) if c not in df.columns]
         if missing:
             raise EngineError("compose", f"{name} lacks {', '.join(missing)}")
-        parts.append(df.select(F.col(key), *(F.col(c) for c in dict.fromkeys((*attributes, *uniform))), F.lit(name).alias("_set"), F.lit(i).alias("_ord")))
+        parts.append(df.select(F.col(key), *(F.col(c) for c in dict.fromkeys((*attributes, *uniform)) if c != key), F.lit(name).alias("_set"), F.lit(i).alias("_ord")))
     rows = reduce(DataFrame.unionByName, parts).where(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
     for c in uniform:
         values = [r[0] for r in rows.select(c).distinct().limit(3).collect()]
