@@ -81,7 +81,7 @@ def bounded_arrow(spark: SparkSession) -> None:
 # ---------------------------------------------------------------- words of Arrow text
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with their UTF-8 bytes and offsets. A slice holds up to `most` bytes, or one text. Null: empty."""
     k = batch.schema.get_field_index(column)
     col = batch.column(k).fill_null("")
