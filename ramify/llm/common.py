@@ -126,10 +126,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of concatenated texts: 64-bit hashes, text index, start and end bytes. A word never crosses texts.
 
-    A hash is a polynomial over random 64-bit values of the bytes, by one running sum for all words.
+    A hash is a polynomial over random 64-bit values of the bytes, by one running sum for all words; 0 if not hashed.
     """
     n = len(data)
     if lower:
@@ -145,6 +145,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
         after[cuts - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
+    if not hashed:
+        return np.zeros(len(starts), np.uint64), np.searchsorted(offsets, starts, "right") - 1, starts, ends
     powers, inverses = _powers(n + 1)
     with np.errstate(over="ignore"):
         run = np.zeros(n + 1, np.uint64)
@@ -263,7 +265,8 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc") -> DataFrame
     links = edges.select(F.greatest(one, two).alias("node"), F.least(one, two).alias("root")).where("node <> root")
     before = None
     for i in range(60):
-        forest = links.repartition("node").mapInArrow(_contract, "node long, root long")
+        # what one task reads is contracted before it moves, and again where links of a node meet
+        forest = links.mapInArrow(_contract, "node long, root long").repartition("node").mapInArrow(_contract, "node long, root long")
         forest = scratch.write(forest, f"{tag}-forest{i}")
         if i:
             scratch.drop(f"{tag}-links{i - 1}")
