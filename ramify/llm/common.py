@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -111,19 +112,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
+    """Powers of _P and of its inverse. A worker process holds one table of them: functions come to it anew with each task."""
+    held = sys.__dict__.setdefault("_ramify_powers", {"size": 0})
+    if held["size"] < n:
         size = 1 << (n - 1).bit_length()
         with np.errstate(over="ignore"):
             p, q = np.full(size, _P), np.full(size, _P_INV)
             p[0] = q[0] = 1
-            _POWERS, _INVERSES = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _POWERS, _INVERSES
+            held.update(size=size, p=np.multiply.accumulate(p), q=np.multiply.accumulate(q))
+    return held["p"], held["q"]
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from .common import Scratch, bounded_arrow
 
 #: Pre-tokens that a worker's cache holds before it starts anew.
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 150_000
 
 #: Texts of these characters alone need no normalisation but lower case, and their pre-tokens are plain to find:
 #: ASCII but for control characters other than white space, and the accented letters of Latin-1.
