@@ -192,6 +192,35 @@ def test_line_groups_equal_brute_force(spark):
     assert sum(out.values()) > 60
 
 
+def typed(r, line, n):
+    c = list(line)
+    for i in r.sample([i for i, x in enumerate(c) if x != " "], n):
+        c[i] = r.choice("abcdefghij")
+    return "".join(c)
+
+
+def test_line_recall_against_edit_similarity_alone(spark):
+    """Pairs of edit similarity 0.85 or more, without the gate: words or letters changed."""
+    r = random.Random(12)
+    pairs, kinds = [], ((8, 1), (12, 1), (20, 1), (20, 2), (30, 2), (40, 3), (100, 5), (8, 0), (20, 0))
+    for n, changed in kinds:
+        for _ in range(60):
+            a = words(r, n)
+            b = list(a)
+            for i in r.sample(range(n), changed):
+                b[i] = "".join(r.choice("klmnopqrst") for _ in b[i])
+            a, b = " ".join(a), " ".join(b)
+            b = b if changed else typed(r, a, n // 8)
+            if plain_distance(a, b) <= max(len(a), len(b)) * 15 // 100:
+                pairs.append(((n, changed), a, b))
+    out = {x["doc_id"]: x["_removed"] for x in line_dedup.dedup_lines(make(spark, [t for _, a, b in pairs for t in (a, b)])).collect()}
+    found = collections.Counter(kind for i, (kind, _, _) in enumerate(pairs) if out[2 * i + 1])
+    all_of = collections.Counter(kind for kind, _, _ in pairs)
+    assert len(pairs) > 400 and sum(found.values()) >= 0.95 * len(pairs), (found, all_of)
+    assert all(found[k] >= 0.8 * n for k, n in all_of.items()), (found, all_of)
+    assert not any(out[2 * i] for i in range(len(pairs)))
+
+
 def test_pii_patterns_equal_plain_ones(spark):
     r = random.Random(6)
     parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "+1 (212) 555-0100", "+12", "12-34", "é", " ", ",", "5500-0000-0000-0004", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "(", ")", "0123456789" * 3]
