@@ -22,14 +22,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(COLUMNS)
 
 
-#: A document goes if more than this share of its judged lines stands elsewhere: what is left of a copy are scraps.
-MOST_REPEATED = 0.7
-
-
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those of which only scraps are left go, as what they said stands elsewhere."""
+    """Documents without repeated lines; those in which no word is left go, as all they said stands elsewhere."""
     out = line_dedup.dedup_lines(docs)
-    out = out.where((F.col("_removed") == 0) | ((F.col("_removed") <= MOST_REPEATED * F.col("_judged")) & F.col("text").rlike(NOT_SPACE)))
+    out = out.where((F.col("_removed") == 0) | F.col("text").rlike(NOT_SPACE))
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

@@ -148,6 +148,15 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_line_stage_keeps_unique_lines_of_mostly_shared_documents(spark):
+    shared = "header of many documents\nthis licence text stands below each page\nsome closing words at its end"
+    unique = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60))
+    texts = [shared, f"{shared}\n{unique}", shared]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {x["doc_id"]: x for x in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert {i: x["text"] for i, x in out.items()} == {0: shared, 1: unique} and out[1]["n_chars"] == len(unique)
+
+
 def test_pipeline(spark, sf):
     docs = queries.table(spark, sf, "documents")
     first = docs.orderBy("doc_id").first()
