@@ -6,8 +6,8 @@ exact binomial test rejects "it rejects more than `risk` / rules of the good doc
 the number of (stratum, rule) tests. Within a rule, the fixed order needs no further correction; over rules and
 strata, Bonferroni's holds. So with probability 1 - error, no stratum loses more than `risk` of its good documents.
 
-Defined results: a null text is empty (no words, so base_failed); a null or rare stratum uses the pooled cutoffs; a
-stratum in which nothing can be certified rejects nothing by the learnt rules; a document that several label rows
+Defined results: a null text is empty (no words, so base_failed); a null stratum is the empty one; a stratum that is
+rare or in which nothing can be certified rejects nothing by the learnt rules; a document that several label rows
 name is good if one says so; no labels: only the base rules decide; repeated rows are each judged; columns beyond
 those named are ignored.
 """
@@ -111,10 +111,10 @@ def binomial_cdf(df: DataFrame, n: str, k: str, p: float, name: str) -> DataFram
 # ---------------------------------------------------------------- cutoffs
 
 
-def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: float, error: float, least: int, most_strata: int, rules: tuple[Rule, ...] = RULES) -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) to the strictest certified cutoff; stratum None: all rows pooled, for strata of fewer than `least` good rows.
+def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: float, error: float, least: int, most_strata: int, rules: tuple[Rule, ...] = RULES) -> dict[tuple[str, str], float]:
+    """(stratum, rule) to the strictest certified cutoff, where there is one, for strata of `least` good rows or more.
 
-    Own cutoffs go to the `most_strata` largest strata at most; so what comes to the driver is bounded.
+    Cutoffs go to the `most_strata` largest strata at most; so what comes to the driver is bounded.
     """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
     held = counts.join(good, counts["doc_id"] == good["good_id"], "left_semi")
@@ -125,10 +125,9 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: float, error: floa
     per = held.select("stratum", F.explode(F.array(*index)).alias("r")).groupBy("stratum", "r.rule", "r.rejecting").count()
     # a value that `rejecting` cutoffs reject is rejected by the strictest ones: positions from the end of the grid
     sizes = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(len(r.grid)))))
-    both = per.unionByName(per.groupBy("rule", "rejecting").agg(F.sum("count").alias("count")).select(F.lit("*").alias("stratum"), "rule", "rejecting", "count"))
-    total = both.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.collect_list(F.struct("rejecting", "count")).alias("by"))
+    total = per.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.collect_list(F.struct("rejecting", "count")).alias("by"))
     total = total.where(F.col("n") >= least)
-    chosen = [r[0] for r in total.groupBy("stratum").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(most_strata + 1).collect()]
+    chosen = [r[0] for r in total.groupBy("stratum").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(most_strata).collect()]
     if not chosen:
         return {}
     total = total.where(F.col("stratum").isin(chosen))
@@ -140,7 +139,7 @@ def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: float, error: floa
     passed = p.withColumn("worst", F.max("p").over(order)).where(F.col("worst") <= error / tests)
     best = passed.groupBy("stratum", "rule").agg(F.max("at").alias("at")).collect()
     grids = {r.name: r.grid for r in rules}
-    return {(None if s == "*" else s[1:], rule): grids[rule][i] for s, rule, i in best}
+    return {(s[1:], rule): grids[rule][i] for s, rule, i in best}
 
 
 def apply_rules(
@@ -158,13 +157,13 @@ def apply_rules(
     named = docs.select("doc_id", *(c for c in held if c != "doc_id"), F.col("text").alias("_text"), key)
     counts = scratch.write(base_counts(named, text="_text", keep=(*held, "_stratum")).withColumnRenamed("_stratum", "stratum"), "quality-counts")
     cutoffs = learn_cutoffs(counts, labels.select("doc_id", "quality"), risk, error, least, most_strata)
-    own = sorted({s for s, _ in cutoffs if s is not None})
+    own = sorted({s for s, _ in cutoffs})
     failed = F.when(F.col("n_words") < min_words, "few_words").when(100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"), "repetition")
     base = F.col("n_words").__lt__(min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     for r in RULES:
-        for s in [*own, None]:
+        for s in own:
             if (c := cutoffs.get((s, r.name))) is not None:
-                here = F.col("stratum") == "=" + s if s is not None else ~F.col("stratum").isin(["=" + x for x in own])
+                here = F.col("stratum") == "=" + s
                 failed = failed.when(here & (F.expr(r.value) < c if r.below else F.expr(r.value) > c), r.name)
     out = counts.withColumn("base_failed", base).withColumn("failed_rule", failed)
     return out.withColumn("kept", F.col("failed_rule").isNull()).withColumn("stratum", F.substr("stratum", F.lit(2)))

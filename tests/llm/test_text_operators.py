@@ -116,6 +116,17 @@ def test_rules_keep_good_documents(spark):
     assert quality_rules.apply_rules(docs.limit(0), labels).count() == 0
 
 
+def test_strata_without_certified_cutoffs_reject_by_base_rules_only(spark):
+    r = random.Random(7)
+    symbols = lambda: " ".join(w + "###$$$" for w in words(r, 60))
+    rows = [(i, " ".join(words(r, 60)), "en") for i in range(3000)] + [(i, " ".join(words(r, 60)), "de") for i in range(3000, 3400)]
+    rows += [(4000 + i, symbols(), lang) for i, lang in enumerate(["en", "de", "fr", None] * 5)]  # not labelled
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3400)], "doc_id long, quality int, toxic int")
+    out = {x["doc_id"]: x["failed_rule"] for x in quality_rules.apply_rules(docs, labels).collect()}
+    assert {(lang, out[i]) for i, _, lang in rows[3400:]} == {("en", "symbols"), ("de", None), ("fr", None), (None, None)}
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
