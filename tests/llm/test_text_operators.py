@@ -306,3 +306,23 @@ def test_raking_and_sampling(spark):
     assert len(out) == 3002 and sum(x["_tokens"] for x in out if x["_sampled"]) == pytest.approx(0.7 * 3000 * 30, rel=0.06)
     assert [x["_sampled"] for x in source_mix.mix_sources(docs).orderBy("doc_id").collect()] == [x["_sampled"] for x in sorted(out, key=lambda x: x["doc_id"])]
     assert source_mix.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_raking_again_after_caps_meets_the_targets():
+    import numpy as np
+
+    sources = {f"s{i}": 0.33 if i == 0 else 0.067 for i in range(11)}
+    langs = {"en": 0.5, "fr": 0.19, "de": 0.17, "es": 0.14}
+    r = np.random.default_rng(4)
+    cells = [(s, lang) for s in sources for lang in langs]
+    mass = np.array([1e6 * sources[s] * langs[lang] * r.uniform(0.8, 1.2) for s, lang in cells])
+    targets = []
+    for d, power in ((0, 0.5), (1, 0.7)):
+        own = {}
+        for c, m in zip(cells, mass, strict=True):
+            own[c[d]] = own.get(c[d], 0) + m
+        targets.append(source_mix.flattened({k: v / mass.sum() for k, v in own.items()}, power))
+    _, p = source_mix.probabilities(cells, mass, targets, 0.7)
+    assert (p <= 1).all() and (p == 1).sum() >= 10 and (p * mass).sum() == pytest.approx(0.7 * mass.sum(), rel=1e-6)
+    for lang, share in targets[1].items():
+        assert sum(x for c, x in zip(cells, p * mass, strict=True) if c[1] == lang) == pytest.approx(share * 0.7 * mass.sum(), rel=1e-4)
