@@ -232,6 +232,13 @@ def test_line_recall_against_edit_similarity_alone(spark):
     assert not any(out[2 * i] for i in range(len(pairs)))
 
 
+def test_short_lines_enter_the_fuzzy_join(spark):
+    r = random.Random(14)
+    lines = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(7)) for _ in range(40)]
+    out = {x["doc_id"]: x["_removed"] for x in line_dedup.dedup_lines(make(spark, [t for x in lines for t in (x, typed(r, x, 1))])).collect()}
+    assert sum(out[2 * i + 1] for i in range(40)) >= 38 and not any(out[2 * i] for i in range(40))
+
+
 def test_pii_patterns_equal_plain_ones(spark):
     r = random.Random(6)
     parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "300.1.1.1", "4111 1111 1111 1111", "+1 (212) 555-0100", "+12", "12-34", "é", " ", ",", "5500-0000-0000-0004", "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "(", ")", "0123456789" * 3]
