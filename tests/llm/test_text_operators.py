@@ -160,25 +160,40 @@ def test_lines(spark):
     assert out[5]["text"] == texts[5]
     assert out[7]["text"] == "short\nshort" and out[8]["text"] == texts[8]
     assert all(out[i]["_removed"] == 0 for i in range(9, 59))
-    a, b = (quality_x(spark, t) for t in (" ".join(long), " ".join(near)))
-    apart = sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b, strict=True))
-    if apart < line_dedup.BLOCKS:  # then a shared block is certain
-        assert out[6]["text"] == "own words stay here"
+    assert out[6]["text"] == "own words stay here"
     assert line_dedup.dedup_lines(make(spark, [])).count() == 0
 
 
-def quality_x(spark, text):
+def sketches(lines):
+    """Block members and sketches of lines, as the operator has them."""
     import numpy as np
 
-    data = np.frombuffer(text.encode(), np.uint8)
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
     x = line_dedup.Lines(data, np.array([0, len(data)]), 1)
-    return tuple(int(h[0]) for h in x.simhash(np.array([0])))
+    width, tables, count = line_dedup.settings(len(lines))
+    hashes = x.min_hashes(np.arange(len(lines)), count)
+    return hashes[:, line_dedup.members(width, tables, count)], line_dedup.sketch(hashes, x.length), hashes
 
 
-def test_line_groups_equal_brute_force(spark):
-    """All distinct lines against one another, by the same definition of a link."""
+def test_min_hashes_equal_brute_force():
+    """Of lines of all lengths, also one that is hashed by parts, against the pieces one by one."""
     import numpy as np
 
+    from ramify.llm.common import mix
+
+    r = random.Random(8)
+    lines = ["", "a", "ab cd", *(" ".join(words(r, r.randint(1, 30))) for _ in range(30)), " ".join(words(r, 70_000)), "end of it"]
+    _, _, hashes = sketches(lines)
+    for line, got in zip(lines, hashes, strict=True):
+        text = b" " * 5 + line_dedup.normalise(line) + b" " * 5
+        pieces = np.array(sorted({int.from_bytes(text[i : i + 6], "big") for i in range(len(text) - 5)}), np.uint64)
+        piece = (mix(pieces) >> np.uint64(32)).astype(np.uint32)
+        least = (piece[:, None] * line_dedup.MULTIPLIERS[None, : len(got)]).min(0)
+        assert (((least * np.uint32(0x9E3779B1)) >> np.uint32(24)) == got).all()
+
+
+def test_line_groups_equal_brute_force(spark, monkeypatch):
+    """All distinct lines against one another, by the same definition of a link; units of all sizes give the same."""
     r = random.Random(9)
     lines = []
     for _ in range(40):
@@ -188,19 +203,53 @@ def test_line_groups_equal_brute_force(spark):
             for _ in range(r.randint(0, 2)):
                 w[r.randrange(40)] = "zz%d" % r.randrange(1000)
             lines.append(" ".join(w))
-    out = {x["doc_id"]: x["_removed"] for x in line_dedup.dedup_lines(make(spark, lines)).collect()}
-    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
-    x = line_dedup.Lines(data, np.array([0, len(data)]), 1)
-    h1, h2 = x.simhash(np.arange(len(lines)))
-    blocks, apart, roots = line_dedup.block_values(h1, h2), line_dedup._apart(h1, h2), Roots()
+    blocks, sketch, _ = sketches(lines)
+    clusters, roots, plain = Roots(), Roots(), Roots()
+    near = []
+    for i in range(len(lines)):
+        for j in range(i):
+            if line_dedup.alike(sketch[[i]], sketch[[j]])[0]:
+                near.append((i, j))
+                if (blocks[i] == blocks[j]).all(1).any():
+                    clusters.join(i, j)
     for i in range(len(lines)):
         for j in range(i):
             a, b = line_dedup.normalise(lines[i]), line_dedup.normalise(lines[j])
-            close = (blocks[i] == blocks[j]).any() and apart[i, j] <= line_dedup.MOST_BITS and plain_distance(a, b) <= max(len(a), len(b)) * 15 // 100
-            if a == b or close:
-                roots.join(i, j)
-    assert out == {i: int(roots.find(i) != i) for i in range(len(lines))}
-    assert sum(out.values()) > 60
+            if abs(len(a) - len(b)) < 20 and i // 6 == j // 6 and plain_distance(a, b) <= max(len(a), len(b)) * 15 // 100:
+                plain.join(i, j)
+                if a == b or (i, j) in near and clusters.find(i) == clusters.find(j):
+                    roots.join(i, j)
+    want = {i: int(roots.find(i) != i) for i in range(len(lines))}
+    assert sum(want.values()) > 150 and sum(want.values()) >= 0.98 * sum(plain.find(i) != i for i in range(len(lines)))
+    for unit, at_once in ((256, 1 << 16), (3, 5)):
+        monkeypatch.setattr(line_dedup, "UNIT", unit)
+        monkeypatch.setattr(line_dedup, "AT_ONCE", at_once)
+        out = {x["doc_id"]: x["_removed"] for x in line_dedup.dedup_lines(make(spark, lines)).collect()}
+        assert out == want
+
+
+def test_block_settings_keep_recall():
+    """More lines mean wider blocks, of which so many are made that a pair at SIMILAR meets as often."""
+    last = 0
+    for n in (0, 1, 10**6, 10**8, 10**10, 10**12):
+        width, tables, count = line_dedup.settings(n)
+        assert width >= max(3, last) and count >= line_dedup.SKETCHED
+        assert 1 - (1 - line_dedup.SIMILAR**width) ** tables >= line_dedup.RECALL
+        last = width
+    assert last >= 6
+
+
+def test_lines_of_tables_with_awkward_columns(spark):
+    """Names that the operator uses itself, null and repeated ids, a very long text."""
+    r = random.Random(5)
+    long = "\n".join(" ".join(words(r, 12)) for _ in range(20_000))
+    same = " ".join(words(r, 9))
+    rows = [(None, same, 1, "x", 7), (2, same, 2, "y", 7), (3, f"{same}\n{long}", 3, None, 7), (4, same, 4, "z", 7), (4, same, 4, "z", 7), (5, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int, lines string, _removed int").withColumn("has", F.lit(1)).withColumn("id", F.lit("i")).withColumn("bucket", F.lit(0))
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "key", "lines", "has", "id", "bucket", "_judged", "_removed"]
+    found = sorted(((x["doc_id"] or 0, x["text"], x["key"], x["_removed"]) for x in out.collect()), key=lambda x: x[0])
+    assert found == [(0, same, 1, 0), (2, same, 2, 0), (3, long, 3, 1), (4, "", 4, 1), (4, "", 4, 1), (5, None, None, 0)]
 
 
 def typed(r, line, n):
