@@ -58,14 +58,16 @@ def band_join(points: DataFrame, *, by: Sequence[str], pos: str, side: Column, d
     return both.dropDuplicates([*by, *(f"{s}_{k}" for s in ("left", "right") for k in keys)])
 
 
-def candidate_match(stated: DataFrame, found: DataFrame, *, block: str, key: str, similarity: Column, source: str, sources: Sequence[str], accept: float = 0.35) -> DataFrame:
+def candidate_match(stated: DataFrame, found: DataFrame, *, block: str, key: str, similarity: Column, source: str, sources: Sequence[str], accept: float = 0.35, may: Column | None = None) -> DataFrame:
     """For each stated row the best candidate by similarity, of the first source (in the order given) that has one of at least `accept`.
 
-    Both sides carry the blocking column; candidates are only compared within a block. Of equal similarities the
-    smallest candidate row (as a struct) wins. Unmatched stated rows stay, with a null candidate.
+    Both sides carry the blocking column; candidates are only compared within a block, each pair once however many
+    blocks it shares, and only where `may` (a cheap bound) holds. Of equal similarities the smallest candidate row (as a
+    struct) wins. Unmatched stated rows stay, with a null candidate.
     """
     cand = F.struct(*(c for c in found.columns if c != block)).alias("cand")
-    pairs = stated.join(found.select(F.col(block), cand, F.col(source).alias("_source")), block).withColumn("sim", similarity)
+    pairs = stated.join(found.select(F.col(block), cand, F.col(source).alias("_source")), block).where(F.lit(True) if may is None else may)
+    pairs = pairs.dropDuplicates([key, "cand"]).withColumn("sim", similarity)
     rank = F.coalesce(F.array_position(F.array(*(F.lit(s) for s in sources)), F.col("_source")), F.lit(0))
     pairs = pairs.where(F.col("sim") >= accept).withColumn("_rank", F.when(rank > 0, rank).otherwise(len(sources) + 1))
     order = W.partitionBy(key).orderBy("_rank", F.desc("sim"), "cand")

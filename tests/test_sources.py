@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ramify.core import EngineError
+from ramify.functions import plaintext
 from ramify.functions import text as X
 from ramify.plans.registry import Catalog
-from ramify.sources import annotation, files, references, sinks
+from ramify.sources import annotation, files, references, reftext, sinks
 
 GAF = "!gaf-version: 2.2\n!date-generated: 2024-01-02\n" + "\t".join(["DB", "P1", "abc", "", "GO:1", "R", "IDA", "", "P", "", "s1|s2", "protein", "taxon:9606", "20240101", "X", "", ""]) + "\n" + "\t".join(["DB", "P2", "def", "NOT|involved_in", "GO:2", "R", "IEA", "", "F", "", "", "protein", "taxon:9606", "20240101", "X"]) + "\nshort\trow\n"
 OBO = """format-version: 1.2
@@ -127,17 +128,55 @@ def test_references(spark, tmp_path):
     rows = references.parse_references(spark.createDataFrame([(plain,)], "value string"), "text").collect()
     assert [(r["key"], r["doi"], r["year"], r["first_author"]) for r in rows] == [("1", "10.1038/nature12345", 2020, "Smith"), ("2", None, 1999, "Roe")]
     assert rows[0]["title"] == "A study of many interesting things" and rows[1]["title"] == "Another long title without any identifier"
+    # a text UDF that has run holds JVM handles: what executors are sent afterwards must not reach it
+    assert spark.createDataFrame([("A{b}",)], "t string").select(X.normalize_text("t")).first()[0] == "ab"
     tex = r"\begin{thebibliography}{9}\bibitem[S]{short}x\bibitem{smith}Smith J. \emph{A title that is r\'egulated} (2011). See \url{https://doi.org/10.1000/xyz.99}.\end{thebibliography}"
     rows = references.parse_references(spark.createDataFrame([(tex,)], "value string"), "latex").collect()
-    assert [(r["key"], r["doi"], r["year"]) for r in rows] == [("smith", "10.1000/xyz.99", 2011)]
-    assert references.after_heading("a\nReferences\nb\nReferences\nc").strip() == "c"
+    assert [(r["key"], r["entry_type"], r["title"], r["doi"], r["year"]) for r in rows] == [("smith", "latex_bibitem", "A title that is régulated", "10.1000/xyz.99", 2011)]
+    assert reftext.after_heading("a\nReferences\nb\n2. References:\nc").strip() == "c" and reftext.after_heading("a\nb") == "a\nb"
+
+
+@pytest.mark.parametrize("line, title, family, year", [
+    ('1. Gillis J, Pavlidis P (2011). The Impact of "Guilt by Association" Analysis. PLoS ONE, 6(2):e17258.', 'The Impact of "Guilt by Association" Analysis', "Gillis", 2011),
+    ("[2] van der Berg J, O'Neil-Smith KL, et al.: Vitamin D in mice and E. coli? Nature 2001, 3:1-9.", "Vitamin D in mice and E. coli", "van der Berg", 2001),
+    ("World Health Organization (2019). Global report on this vs. that. Geneva.", "Global report on this vs. that", "World", 2019),
+    ("Love, M. I., Huber, W., and Anders, S. (2014). Moderated estimation of fold change. Genome Biology, 15(12):550.", "Moderated estimation of fold change", "Love", 2014),
+    ("John Smith and Jane Doe. A long description of the methods of things. In: Proceedings. 1998.", "A long description of the methods of things", "John", 1998),
+    ('Smith AB and Doe C. "A quoted title of this one." J Foo. 2010.', "A quoted title of this one", "Smith", 2010),
+])
+def test_fields_of_references(line, title, family, year):
+    found = reftext.parse_block(line)
+    assert (found["title"], found["first_author"], found["year"], found["doi"]) == (title, family, year, None)
+
+
+def test_latex_and_bibtex_scanners():
+    cases = {r"\textbf{\textit{Hello}} world": "Hello world", r"\"Ostlund and Caf\'e, \v{S}koda \c c, Stra\ss e, \L{}ukasz": "Östlund and Café, Škoda ç, Straße, Łukasz", r"\href{https://x.y/z}{doi:10.1/x} \url{https://doi.org/10.5/y}": "doi:10.1/x https://doi.org/10.5/y", "pp.~10--20, vol.~3---4": "pp. 10-20, vol. 3-4", "50\\% of a % gone\nb": "50% of a b", "{unclosed \\emph{x": "unclosed x", "": ""}
+    assert {k: plaintext.plain_latex(k) for k in cases} == cases
+    bib = '@comment{x}@string{j = "J"}\n@Article{k1,\n title = {{Deep} {G{S}K}: 50% more}, author = {{Ahlmann-Eltze}, C and Geuter, J{\\"u}rgen}, year = 2025, journal = "A " # "B \\& C"}\n@misc{k2, title = {No end'
+    one, two = reftext.entries_of_bibtex(bib)
+    assert (one["entry_type"], one["key"], one["title"], one["author"], one["year"], one["journal"]) == ("article", "k1", "Deep GSK: 50% more", "Ahlmann-Eltze, C and Geuter, Jürgen", "2025", "A B & C")
+    assert two["key"] == "k2" and two["doi"] is None
+
+
+def test_docx(spark, tmp_path):
+    paragraphs = ["Body text that is no reference.", "References", "1. Love MI, Huber W (2014). Moderated estimation of fold change. Genome Biology 15(12):550. doi:10.1186/s13059-014-0550-8", "2. Brown K (2019). Title without a DOI. Journal of Hard Cases 1(1):1-5."]
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    xml = f'<w:document xmlns:w="{ns}"><w:body>' + "".join(f"<w:p><w:r><w:t>{x[:9]}</w:t></w:r><w:r><w:t>{x[9:]}</w:t></w:r></w:p>" for x in paragraphs) + "</w:body></w:document>"
+    path = str(tmp_path / "a.docx")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", xml)
+    rows = references.read_references(spark, path).collect()
+    assert [(r["key"], r["title"], r["doi"], r["first_author"]) for r in rows] == [("1", "Moderated estimation of fold change", "10.1186/s13059-014-0550-8", "Love"), ("2", "Title without a DOI", None, "Brown")]
 
 
 def test_validation(spark):
     works = spark.createDataFrame([("10.1/aaaaa1", "The impact of multifunctional genes", 2012, "Gillis", None, "crossref"), ("10.1/bbbbb2", "Quite another title of a work", 2000, "Roe", None, "pubmed")], references.RECORD.replace("key string, entry_type string, title string, doi string", "doi string, title string") + ", source string")
+    works = works.union(spark.createDataFrame([("10.1/ccccc3", "The Art of War", 1910, "Müller", None, "crossref"), ("10.48550/arxiv.1", "On arXiv", 2020, "Doe", None, "arxiv"), *((f"10.1/d{i}", f"Impact multifunctional {i}", 2000, "X", None, "crossref") for i in range(40))], works.schema))
     c = [("a", "x", "The impact of multifunctional genes", "10.1/aaaaa1", 2012, "Gillis", None), ("b", "x", "The impact of multifunctional genes", "10.1/bbbbb2", 2012, "Gillis", None), ("c", "x", "Lost", "10.1/zzzzz9", None, None, None), ("d", "x", "the {IMPACT} of multifunctional genes", None, 2013, None, None), ("e", "x", "nothing alike", None, None, None, None)]
+    c += [("f", "x", "the art of war", None, 1910, "Muller", None), ("g", "x", "Any", "10.48550/arXiv.1", None, None, None), ("h", "x", "Any", "10.48550/arXiv.2", None, None, None)]
     out = {r["key"]: r for r in references.validate(spark.createDataFrame(c, references.RECORD), works).collect()}
-    assert {k: r["status"] for k, r in out.items()} == {"a": "VERIFIED", "b": "CHIMERA", "c": "PHANTOM", "d": "VERIFIED_NO_DOI", "e": "NOT_FOUND"}
+    assert {k: r["status"] for k, r in out.items()} == {"a": "VERIFIED", "b": "CHIMERA", "c": "PHANTOM", "d": "VERIFIED_NO_DOI", "e": "NOT_FOUND", "f": "VERIFIED_NO_DOI", "g": "VERIFIED", "h": "PHANTOM"}
+    assert out["f"]["author_match"] and out["f"]["db_title"] == "The Art of War" and (out["g"]["flags"], out["g"]["confidence"], out["g"]["title_similarity"]) == ("ARXIV_DOI", 0.85, None)
     assert out["b"]["flags"] == "TITLE_MISMATCH,YEAR_MISMATCH,AUTHOR_MISMATCH" and list(out["a"].asDict()) == references.REPORT
 
 
@@ -156,6 +195,7 @@ def test_scalars(spark):
     assert one(X.to_uri, "GO:0006915") == "http://purl.obolibrary.org/obo/GO_0006915" and one(X.to_uri, "EFO:4530") == "http://www.ebi.ac.uk/efo/EFO_0004530"
     assert one(X.normalize_go_term, "go:6915") == "GO:0006915" and one(X.classify_gene_input, "UniProtKB:P04637") == "uniprot" and one(X.classify_gene_input, "TP53") == "symbol"
     assert one(X.parse_pdf_date, "D:20240117120000") == "2024-01-17" and one(lambda c: X.page_set(c, F.lit(6)), "1,3,5-7") == [1, 3, 5, 6]
+    assert one(X.author_ok, "Müller", "Muller") and one(X.author_ok, "", "Muller") is None and not one(X.author_ok, "Roe", "Doe")
     assert one(X.clean_latex, r"M\"uller \& \textbf{S{\o}n} --- \emph{x}") == "Müller & Søn - x"
     assert [one(X.col_letter, i) for i in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"]
     cases = [((True, True, True, 1.0, True), ("VERIFIED", 1.0)), ((True, True, True, 0.775, True), ("SUSPICIOUS", 0.55)), ((True, True, True, 0.9, False), ("CORRUPTED", 0.8)), ((True, True, True, 0.209, True), ("CHIMERA", 0.9)), ((False, True, True, 0.0, True), ("PHANTOM", 0.95))]
