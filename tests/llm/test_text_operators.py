@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,26 @@ def test_edit_distance():
         assert (line_dedup.edit_distance(a, b, 3) <= 3) == (want <= 3)
 
 
+def test_edit_distances_of_many_pairs():
+    """Of all lengths around the words of bits, also long lines that go one by one."""
+    r = random.Random(3)
+    ones, twos = [], []
+    for n in (0, 1, 5, 63, 64, 65, 127, 128, 129, 200, 300, 2100):
+        for k in range(12 if n < 1000 else 2):
+            a = bytes(r.choice(b"abcd") for _ in range(n))
+            b = bytearray(a)
+            for _ in range(r.randint(0, max(1, n // 4)) if n < 1000 else 5):
+                at, what = r.randint(0, len(b)), r.randrange(3)
+                b[at : at + (what > 0)] = bytes([r.choice(b"abcd")]) * (what < 2)
+            ones.append(a), twos.append(bytes(b) if k % 3 else bytes(r.choice(b"abcd") for _ in range(n)))
+    want = [plain_distance(a, b) if len(a) < 1000 else line_dedup.edit_distance(a, b, 10**6) for a, b in zip(ones, twos, strict=True)]
+    for most in (0, 3, 20, 80):
+        assert line_dedup.within_many(ones, twos, np.full(len(ones), most)).tolist() == [d <= most for d in want]
+    short = [k for k, x in enumerate(ones) if 0 < len(x) < 1000]
+    for n_words in (5, 7):  # lines of all lengths in one go
+        assert line_dedup.distances([ones[k] for k in short], [twos[k] for k in short], n_words).tolist() == [want[k] for k in short]
+
+
 def test_lines(spark):
     r = random.Random(4)
     line = lambda n: " ".join(words(r, n))
@@ -166,8 +187,6 @@ def test_lines(spark):
 
 def sketches(lines):
     """Block members and sketches of lines, as the operator has them."""
-    import numpy as np
-
     data = np.frombuffer("\n".join(lines).encode(), np.uint8)
     x = line_dedup.Lines(data, np.array([0, len(data)]), 1)
     width, tables, count = line_dedup.settings(len(lines))
@@ -177,8 +196,6 @@ def sketches(lines):
 
 def test_min_hashes_equal_brute_force():
     """Of lines of all lengths, also one that is hashed by parts, against the pieces one by one."""
-    import numpy as np
-
     from ramify.llm.common import mix
 
     r = random.Random(8)
