@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -49,30 +50,67 @@ def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
-    """df with its position from 0, in the order of its partitions (for files: their order in the scan)."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """df with a number that rises in the order of its partitions and rows (for files: their order in the scan), with gaps."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """df in a total order over its partitions, written once: with _pid, the partition, and _row, the place in it from 0.
+
+    As the rows are written, all that is derived from them sees one and the same partitioning.
+    """
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # fixed by Spark: the partition's number is above the lowest 33 bits
+    return cut_lineage(parted.withColumns({"_pid": F.shiftright("_at", 33).cast("int"), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at"))
+
+
+def before_partitions(parted: DataFrame, amount: Column) -> DataFrame:
+    """_pid, _before: the sum of the amounts of all rows in earlier partitions. One row a partition, so it may be broadcast."""
+    sizes = parted.groupBy("_pid").agg(F.sum(amount).alias("_n"))
+    return sizes.select("_pid", F.coalesce(F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
 
 
 def total_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
-    """df with its rank from 1 in a total order, without a single-partition window.
+    """df with its rank from 1 in a total order, without a window over all rows.
 
-    Rows are range-partitioned by the order; a rank is the row's place in its partition plus the sizes of those before.
-    Sizes, one per partition, are broadcast.
+    Rows are range-partitioned and sorted once; a rank is the row's place in its partition plus the sizes of those before.
     """
-    parted = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
-    sizes = parted.groupBy("_pid").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.select(F.col("_pid").alias("_q"), F.col("_n").alias("_m")), F.col("_q") < F.col("_pid"), "left")
-    before = before.groupBy("_pid").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
-    placed = parted.withColumn("_rn", F.row_number().over(W.partitionBy("_pid").orderBy(*order)))
-    return placed.join(F.broadcast(before), "_pid").withColumn(name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_pid", "_rn", "_before")
+    parted = in_order(df, order)
+    placed = parted.join(F.broadcast(before_partitions(parted, F.lit(1))), "_pid")
+    return placed.withColumn(name, (F.col("_row") + F.col("_before") + 1).cast("long")).drop("_pid", "_row", "_before")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: that of spark.checkpoint.dir; on a local master, where it is unset, one of our own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ramify-"))
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise EngineError("scratch_dir", "spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="ramify-"))
+    return (folder or sc.getCheckpointDir()).rstrip("/")
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the scratch folder; it goes when the application ends, or by drop_path()."""
+    path = f"{scratch_dir(spark)}/ramify-{tag}-{uuid.uuid4().hex}"
+    atexit.register(drop_path, spark, path)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path, if it is still there and Spark still runs."""
+    try:
+        jvm = spark.sparkContext._jvm
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clean
+        pass
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the scratch folder."""
+    scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

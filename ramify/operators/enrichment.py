@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..core import EngineError, total_rank
+from ..core import EngineError, before_partitions, cut_lineage, in_order, total_rank
 
 
 def mf_score(facts: DataFrame, *, entity: str, term: str) -> DataFrame:
@@ -27,25 +27,38 @@ def mf_score(facts: DataFrame, *, entity: str, term: str) -> DataFrame:
 
 def mf_rank(scores: DataFrame, *, entity: str, score: str = "mf_score", places: int = 12) -> DataFrame:
     """scores with mf_rank (1 is highest; ties by entity) and mf_percentile = (N - rank + 1) / N. Scores compare rounded, as sums have no order."""
-    n = scores.agg(F.count("*").alias("_all"))
-    if scores.limit(2).count() < 2:
-        raise EngineError("mf_rank", "it takes two entities or more")
     ranked = total_rank(scores.withColumn("_s", F.round(score, places)), [F.desc("_s"), F.asc(entity)], "mf_rank").drop("_s")
-    return ranked.crossJoin(F.broadcast(n)).withColumn("mf_percentile", (F.col("_all") - F.col("mf_rank") + 1) / F.col("_all")).drop("_all")
+    n = ranked.count()
+    if n < 2:
+        raise EngineError("mf_rank", "it takes two entities or more")
+    return ranked.withColumn("mf_percentile", (F.lit(n) - F.col("mf_rank") + 1) / F.lit(n))
 
 
-def bh_qvalues(df: DataFrame, p: str = "pvalue", q: str = "qvalue", by: tuple[str, ...] = ()) -> DataFrame:
+def bh_qvalues(df: DataFrame, p: str = "pvalue", q: str = "qvalue", by: tuple[str, ...] = (), *, few: bool = False) -> DataFrame:
     """df with Benjamini-Hochberg q-values: over ranks from the largest p down, the running minimum of p m / rank, at most 1.
 
-    Distinct p-values are ranked, not rows, so the one-task window holds a row per distinct p; rows get theirs by a join.
+    Distinct p-values are ranked, not rows, and rows get theirs by a join. They are ranked over range partitions; where
+    there are few (a row a set), or in each group of `by`, by one window. Null p-values have null q-values.
     """
     key = [*by, "_p"]
     rows = df.withColumn("_p", F.col(p))
     steps = rows.where("_p IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by).orderBy("_p")
-    steps = steps.withColumn("_rank", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_m", F.sum("_n").over(W.partitionBy(*by)))
-    steps = steps.withColumn(q, F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(w.rowsBetween(0, W.unboundedFollowing)))).select(*key, q)
-    return rows.join(steps, key, "left").drop("_p")
+    if by or few:
+        w = W.partitionBy(*by).orderBy("_p")
+        steps = steps.withColumn("_rank", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_m", F.sum("_n").over(W.partitionBy(*by)))
+        steps = steps.withColumn(q, F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_rank")).over(w.rowsBetween(0, W.unboundedFollowing)))).select(*key, q)
+        return rows.join(steps, key, "left").drop("_p")
+    parted = in_order(steps, [F.asc("_p")])
+    m = parted.agg(F.sum("_n")).first()[0] or 0
+    w = W.partitionBy("_pid").orderBy("_row")
+    placed = parted.join(F.broadcast(before_partitions(parted, F.col("_n"))), "_pid")
+    placed = placed.withColumn("_rank", F.col("_before") + F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    placed = placed.withColumn("_least", F.min(F.col("_p") * m / F.col("_rank")).over(w.rowsBetween(0, W.unboundedFollowing)))
+    # the least value of later partitions: one row a partition
+    later = placed.groupBy("_pid").agg(F.min("_least").alias("_own"))
+    later = later.select("_pid", F.min("_own").over(W.orderBy("_pid").rowsBetween(1, W.unboundedFollowing)).alias("_later"))
+    steps = placed.join(F.broadcast(later), "_pid").select("_p", F.least(F.lit(1.0), "_least", "_later").alias(q))
+    return rows.join(steps, "_p", "left").drop("_p")
 
 
 def log_factorials(n: int) -> np.ndarray:
@@ -98,9 +111,9 @@ def ora(
     counts = marked.agg(F.count("*").alias("_total"), F.sum("hit").alias("n"))
     if mf is not None:
         ranked = mf.select(F.col(member).alias("m"), "mf_percentile").groupBy("m").agg(F.max("mf_percentile").alias("mf_percentile")).join(bg, "m", "left_semi")
-        n = counts.first()["n"] or 0
-        top = ranked.orderBy(F.desc("mf_percentile"), "m").limit(int(n)).select("m").withColumn("top", F.lit(1))
-        marked = marked.join(top, "m", "left").withColumn("top", F.coalesce("top", F.lit(0)))
+        ranked = total_rank(ranked, [F.desc("mf_percentile"), F.asc("m")], "_rank").select("m", "_rank")
+        marked = marked.join(ranked, "m", "left").crossJoin(F.broadcast(counts.select("n"))).withColumn("top", F.coalesce((F.col("_rank") <= F.col("n")).cast("int"), F.lit(0))).drop("_rank", "n")
+        marked = cut_lineage(marked)  # read for the totals and for the sets
         counts = marked.agg(F.count("*").alias("_total"), F.sum("hit").alias("n"), F.sum("top").alias("n_top"))
     else:
         marked = marked.withColumn("top", F.lit(0))
@@ -120,9 +133,9 @@ def ora(
     cols = ["set_id", *names, "set_size", "set_size_after_filter", "n_hits_in_set", "expected_hits", "fold_enrichment", "pvalue", "qvalue"]
     if mf is not None:
         out = out.withColumn("mf_baseline_n_hits_in_set", F.col("n_top_in_set")).withColumn("mf_baseline_pvalue", hypergeom_sf(F.col("_total"), K, F.col("n_top"), F.col("n_top_in_set")))
-        out = bh_qvalues(out, "mf_baseline_pvalue", "mf_baseline_qvalue")
+        out = bh_qvalues(out, "mf_baseline_pvalue", "mf_baseline_qvalue", few=True)
         cols += ["mf_baseline_n_hits_in_set", "mf_baseline_pvalue", "mf_baseline_qvalue"]
-    out = bh_qvalues(out, "pvalue", "qvalue").select(*cols)
+    out = bh_qvalues(out, "pvalue", "qvalue", few=True).select(*cols)
     return (out.withColumnRenamed(name_col, "set_name") if name_col else out).orderBy("pvalue", "set_id")
 
 
@@ -146,18 +159,26 @@ def average_precision(ranks: DataFrame, sets: DataFrame, *, member: str = "membe
 
 
 def _null_draws(n: int, size: int, seed: int, chunk: int, draws: int) -> np.ndarray:
-    """Average precision of `draws` random sets of a size among n ranks."""
+    """Average precision of `draws` random sets of a size among n ranks.
+
+    Sets are drawn by Floyd's method, a step for all sets of a slice at a time: the k-th pick is of the first
+    n - size + k ranks, or the last of them if it was picked before. Marks give the ranks in order.
+    """
     rng = np.random.default_rng((seed, size, chunk))
-    step = max(1, 2_000_000 // max(n, 1))
+    step = max(1, 8_000_000 // max(n, 1))
     out = []
     for at in range(0, draws, step):
         m = min(step, draws - at)
-        picks = np.sort(np.argpartition(rng.random((m, n)), size - 1, axis=1)[:, :size], axis=1) + 1
-        out.append((np.arange(1, size + 1) / picks).mean(1))
+        marks, row = np.zeros((m, n), bool), np.arange(m)
+        for last in range(n - size, n):
+            pick = rng.integers(0, last + 1, m)
+            pick[marks[row, pick]] = last
+            marks[row, pick] = True
+        out.append((np.arange(1, size + 1) / (np.nonzero(marks)[1].reshape(m, size) + 1)).mean(1))
     return np.concatenate(out)
 
 
-def permutation_null(sizes: DataFrame, n_ranked: int, *, permutations: int = 10_000, seed: int = 0, chunk: int = 500, size_col: str = "size") -> DataFrame:
+def permutation_null(sizes: DataFrame, n_ranked: int, *, permutations: int = 10_000, seed: int = 0, chunk: int = 250, size_col: str = "size") -> DataFrame:
     """size, chunk, null (array of doubles) for each distinct size: the null depends on the size alone, and each chunk of
     draws has a seed of its own, so chunks run on different executors and repeat exactly."""
     chunks = -(-permutations // chunk)
@@ -189,14 +210,15 @@ def pr_enrichment(
     """
     if background is not None:
         scores = scores.join(background.select(entity).distinct(), entity, "left_semi")
-    ranks = rank_entities(scores, entity=entity, score=score, ascending=ascending).cache()
+    ranks = rank_entities(scores, entity=entity, score=score, ascending=ascending)
     n = ranks.count()
     sized = sets.select(F.col(set_col).alias("set_id"), entity).distinct()
     full = sized.groupBy("set_id").agg(F.count("*").alias("set_size"))
     auc = average_precision(ranks, sized, member=entity).where(F.col("n_members").between(min_size, max_size))
     out = full.join(auc, "set_id").withColumnRenamed("n_members", "set_size_after_filter").withColumn("n_genes_in_input", F.lit(n).cast("long"))
-    null = permutation_null(out.select(F.col("set_size_after_filter").alias("size")), n, permutations=permutations, seed=seed).cache()
-    out = bh_qvalues(out.join(empirical_p(out, null, value="pr_auc", size="set_size_after_filter", name="pvalue", permutations=permutations), "set_id"))
+    out = cut_lineage(out)
+    null = cut_lineage(permutation_null(out.select(F.col("set_size_after_filter").alias("size")), n, permutations=permutations, seed=seed))
+    out = bh_qvalues(out.join(empirical_p(out, null, value="pr_auc", size="set_size_after_filter", name="pvalue", permutations=permutations), "set_id"), few=True)
     if mf is not None:
         best = mf.select(entity, "mf_percentile").groupBy(entity).agg(F.max("mf_percentile").alias("_pc"))
         by_mf = rank_entities(ranks.join(best, entity, "left").withColumn("_pc", F.coalesce("_pc", F.lit(-1.0))), entity=entity, score="_pc")
@@ -205,6 +227,6 @@ def pr_enrichment(
         out = out.join(mf_auc, "set_id").join(means, out["set_size_after_filter"] == means["size"]).drop("size")
         out = out.withColumn("_obs", F.col("pr_auc") - (F.col("mf_pr_auc") - F.col("_mean"))).drop("_mean")
         corrected = empirical_p(out, null, value="_obs", size="set_size_after_filter", name="mf_corrected_pvalue", permutations=permutations)
-        out = bh_qvalues(out.join(corrected, "set_id").drop("_obs"), "mf_corrected_pvalue", "mf_corrected_qvalue")
+        out = bh_qvalues(out.join(corrected, "set_id").drop("_obs"), "mf_corrected_pvalue", "mf_corrected_qvalue", few=True)
     first = ["set_id", "set_size", "set_size_after_filter", "n_genes_in_input", "pr_auc", "pvalue", "qvalue"]
     return out.select(*first, *(c for c in out.columns if c not in first)).orderBy("pvalue", "set_id")

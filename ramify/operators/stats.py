@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -77,7 +79,8 @@ def kde(df: DataFrame, group: str, value: str, *, points: int = 512, lower: floa
     """group, x, density: Gaussian kernels with Scott's bandwidth on a grid of the group's range +- 3 deviations, or the bounds.
 
     At a bound the sample is reflected, densities are multiplied by the number of copies (by 2 if scale_by_copies is
-    off), and are 0 beyond. Values are counted first, so equal values cost one kernel.
+    off), and are 0 beyond. Values are counted first, so equal values cost one kernel; kernels are added up where the
+    values are.
     """
     rows = df.where(finite(value)).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x"))
     copies = [F.col("_x")] + ([2 * F.lit(lower) - F.col("_x")] if lower is not None else []) + ([2 * F.lit(upper) - F.col("_x")] if upper is not None else [])
@@ -87,11 +90,27 @@ def kde(df: DataFrame, group: str, value: str, *, points: int = 512, lower: floa
     s = s.join(ends, "_g").withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
     lo = F.lit(lower) if lower is not None else F.col("_lo") - 3 * F.col("_s0")
     hi = F.lit(upper) if upper is not None else F.col("_hi") + 3 * F.col("_s0")
-    grid = s.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", lo + F.col("_k") * (hi - lo) / (points - 1))
     weighted = reflected.groupBy("_g", "_x").agg(F.count("*").alias("_c"))
-    kernel = F.sum(F.col("_c") * F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.col("_h"), 2)))
+    # each partition adds its values' kernels onto the grids of its groups: points rows a group and partition move on
+    parts = weighted.join(s.select("_g", "_h", lo.alias("_from"), hi.alias("_to")), "_g")
+    group_type = dict(weighted.dtypes)["_g"]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for key, rows in b.groupby("_g", dropna=False):
+                h, start, end = rows["_h"].iloc[0], rows["_from"].iloc[0], rows["_to"].iloc[0]
+                x = start + np.arange(points) * (end - start) / (points - 1)
+                got = sums.setdefault(key, np.zeros(points))
+                for at in range(0, len(rows), 1000):
+                    value, copies = rows["_x"].to_numpy()[at : at + 1000], rows["_c"].to_numpy()[at : at + 1000]
+                    got += copies @ np.exp(-0.5 * ((x[None, :] - value[:, None]) / h) ** 2)
+        for key, got in sums.items():
+            yield pd.DataFrame({"_g": [key] * points, "_k": np.arange(points), "_s": got})
+
+    added = parts.select("_g", "_x", "_c", "_h", "_from", "_to").mapInPandas(partial, f"_g {group_type}, _k int, _s double").groupBy("_g", "_k").agg(F.sum("_s").alias("_s"))
     factor = (len(copies) if scale_by_copies else 2) if len(copies) > 1 else 1
-    d = grid.join(weighted, "_g").groupBy("_g", "_k", "x", "_n", "_h").agg(kernel.alias("_s"))
+    d = added.join(s.select("_g", "_n", "_h", lo.alias("_from"), hi.alias("_to")), "_g").withColumn("x", F.col("_from") + F.col("_k") * (F.col("_to") - F.col("_from")) / (points - 1))
     return d.select(F.col("_g").alias(group), "x", (factor * F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
 
 

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import dedupe_first, total_rank
+from .core import dedupe_first, scratch_path, total_rank
 from .functions import text as X
 from .operators import channels, enrichment, hierarchy, joins, setops, stats
-from .sources import references, sinks
+from .sources import annotation, files, references, sinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,7 @@ def ora(spark, d):
 
 
 def _part_mf(spark, d):
-    facts = table(spark, d, "lineitem").select(F.col("l_partkey").alias("member"), (F.col("l_suppkey") % 10).alias("term")).where("member % 3 = term % 3")
+    facts = table(spark, d, "lineitem").select(F.col("l_partkey").alias("member"), (F.col("l_suppkey") % 10).alias("term"))
     return enrichment.mf_rank(enrichment.mf_score(facts, entity="member", term="term"), entity="member")
 
 
@@ -138,7 +138,7 @@ def children(spark, d):
 
 def term_search(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array("p_type").alias("synonyms"))
-    return hierarchy.term_search(nodes, "RE", limit=1_000_000)
+    return hierarchy.term_search(nodes, "RE")
 
 
 def facts_with(spark, d):
@@ -147,7 +147,7 @@ def facts_with(spark, d):
 
 def annotations_of(spark, d):
     rows = _facts(spark, d).withColumns({"evidence": F.when(F.col("term") % 2 == 0, "A").otherwise("B")})
-    return hierarchy.annotations_of(rows, hierarchy.closure(_edges(spark)), entity_filter=F.col("entity") <= 5, key=("entity", "term", "evidence"), term="term")
+    return hierarchy.annotations_of(rows, hierarchy.closure(_edges(spark)), entity_filter=F.lit(True), key=("entity", "term", "evidence"), term="term")
 
 
 def ortholog_map(spark, d):
@@ -164,7 +164,7 @@ def average_precision(spark, d):
 
 def pr_enrichment(spark, d):
     revenue = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("member")).agg(F.sum("l_quantity").alias("score"))
-    return enrichment.pr_enrichment(revenue, _brands(spark, d), max_size=2000, permutations=200, mf=_part_mf(spark, d))
+    return enrichment.pr_enrichment(revenue, _brands(spark, d), max_size=1_000_000, mf=_part_mf(spark, d))
 
 
 def bh_qvalues(spark, d):
@@ -216,7 +216,7 @@ def semi_join(spark, d):
 
 
 def anti_join(spark, d):
-    return joins.anti_join(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return joins.anti_join(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def left_lookup(spark, d):
@@ -255,9 +255,7 @@ def total_rank_(spark, d):
 
 
 def normalize_text(spark, d):
-    # what the fold and SQL's strip_accents both know: Latin letters and ASCII
-    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x20-\x7eÀ-ÖØ-öø-ÿ\n]|[ßæÆøØðÐþÞ_{}\\\\]", "").alias("t"))
-    return docs.select("doc_id", X.normalize_text("t").alias("plain"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_text("text").alias("plain"))
 
 
 def extract_year(spark, d):
@@ -288,9 +286,13 @@ def sha256(spark, d):
 
 
 def title_similarity(spark, d):
-    docs = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 120).alias("title"))
-    pairs = docs.alias("a").join(docs.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id"))
-    return pairs.select(F.col("a.item_id").alias("item_id"), F.round(X.title_similarity(F.col("a.title"), F.col("b.title")), 6).alias("similarity"))
+    # whole texts that share a word of six letters or more
+    words = F.explode(F.array_distinct(F.filter(F.split(X.normalize_text("text"), " "), lambda x: F.length(x) >= 6))).alias("word")
+    b = table(spark, d, "benchmark")
+    block = b.select("item_id", words)
+    pairs = block.alias("a").join(block.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") < F.col("b.item_id"))).select(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other_id")).distinct()
+    pairs = pairs.join(b.select("item_id", F.col("text").alias("one")), "item_id").join(b.select(F.col("item_id").alias("other_id"), F.col("text").alias("two")), "other_id")
+    return pairs.select("item_id", "other_id", F.round(X.title_similarity(F.col("one"), F.col("two")), 6).alias("similarity"))
 
 
 def classify_citation(spark, d):
@@ -310,9 +312,79 @@ def validate_citations(spark, d):
     return references.validate(stated, works)
 
 
+def _family():
+    return F.concat(F.lit("Q"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij"))
+
+
 def parse_references(spark, d):
-    b = table(spark, d, "benchmark").select(F.concat(F.lit("1. Smith J, Doe A (2014). "), F.regexp_replace("text", r"\n", " "), F.lit(" doi:10.1186/s13059-014-"), F.col("item_id").cast("string"), F.lit("55.")).alias("value"), "item_id")
-    return references.parse_references(b, "text", id_col="item_id")
+    title = F.concat(F.lit("A study of every "), "p_name", F.lit(" in use"))
+    year = (F.lit(1950) + F.col("p_partkey") % 70).cast("string")
+    p = table(spark, d, "part").select("p_partkey", _family().alias("family"), title.alias("title"), year.alias("year"), F.concat(F.lit("10.1186/s13059-"), F.col("p_partkey").cast("string")).alias("doi"))
+    before = F.concat(F.lit("1. "), "family", F.lit(" JA, van der Doe B ("), "year", F.lit("). "), "title", F.lit(". J Things, 12(3):4-9. doi:"), "doi", F.lit("."))
+    after = F.concat(F.lit("[7] "), "family", F.lit(", J. A., and Doe, B. "), "title", F.lit("? J Things "), "year", F.lit(";12:4-9. https://doi.org/"), "doi", F.lit("\n\nDownloaded from https://x.y/z\n"))
+    return references.parse_references(p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, before).otherwise(after).alias("value")), "text", id_col="p_partkey")
+
+
+def parse_latex(spark, d):
+    item = F.concat(F.lit("\\bibitem[x]{k"), F.col("p_partkey").cast("string"), F.lit("}\n"), _family(), F.lit(", J.~A. and \\\"Ost, B. ("), (F.lit(1950) + F.col("p_partkey") % 70).cast("string"), F.lit(").\n\\newblock A \\textbf{study} of every "), "p_name", F.lit(" in use.\n\\newblock \\emph{J Things}, 1:1--5."))
+    texts = table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("x"))))["x"], "\n").alias("items"))
+    texts = texts.select("p_brand", F.concat(F.lit("text \\begin{thebibliography}{9}"), "items", F.lit("\\end{thebibliography} \\bibitem{no} more")).alias("value"))
+    return references.parse_references(texts, "latex", id_col="p_brand").select("doc", "key", "entry_type", "title", "year", "first_author")
+
+
+def parse_bibtex(spark, d):
+    entry = F.concat(F.lit("@article{k"), F.col("p_partkey").cast("string"), F.lit(",\n  title = {A {"), F.col("p_name"), F.lit("} \\emph{study}},\n  author = {"), _family(), F.lit(", Jo and Doe, J},\n  year = "), (F.lit(1950) + F.col("p_partkey") % 70).cast("string"), F.lit(",\n  journal = \"J \\& T\",\n  url = {https://doi.org/10.1186/s13059-"), F.col("p_partkey").cast("string"), F.lit("}\n}\n"))
+    texts = table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("value"))
+    return references.parse_bibtex(texts).select("key", "entry_type", "title", "doi", "year", "first_author", "journal")
+
+
+def _file(spark, lines: DataFrame, tag: str) -> str:
+    """A text file of the column value of lines, in the shared scratch folder."""
+    path = scratch_path(spark, tag)
+    lines.select("value").write.text(path)
+    return path
+
+
+def read_gaf(spark, d):
+    p = table(spark, d, "part")
+    fields = ["DB", F.col("p_partkey"), F.col("p_name"), F.when(F.col("p_size") % 5 == 0, "NOT|part_of").otherwise("part_of"), F.concat(F.lit("GO:"), F.lpad(F.col("p_size").cast("string"), 7, "0")), "R:1", F.when(F.col("p_size") % 2 == 0, "IDA").otherwise("IEA"), "", "P", "", F.col("p_type"), "protein", "taxon:9606", "20240101", "X"]
+    line = F.concat_ws("\t", *(F.lit(f) if isinstance(f, str) else f.cast("string") for f in fields))
+    head = spark.createDataFrame([("!gaf-version: 2.2",), ("too\tshort",)], "value string")
+    return annotation.read_gaf(spark, _file(spark, head.unionByName(p.select(line.alias("value"))), "gaf"), exclude_not=True).withColumn("db_id", F.col("db_id").cast("long"))
+
+
+def read_obo(spark, d):
+    k = F.col("p_partkey")
+    of = lambda x: F.concat(F.lit("P:"), x.cast("string"))
+    parents = F.when(k >= 2, F.concat(F.lit("\nis_a: "), of(F.floor(k / 2)), F.lit(" ! half"), F.lit("\nrelationship: part_of "), of(F.floor(k / 3)))).otherwise("")
+    gone = F.when(k % 10 == 7, "\nis_obsolete: true").otherwise("")
+    stanza = F.concat(F.lit("[Term]\nid: "), of(k), F.lit("\nname: "), "p_name", F.lit("\nnamespace: n"), parents, gone, F.lit("\n"))
+    nodes, edges = annotation.read_obo(spark, _file(spark, table(spark, d, "part").select(stanza.alias("value")), "obo"))
+    return edges.join(nodes.select(F.col("id").alias("child"), "name"), "child")
+
+
+def read_gmt(spark, d):
+    sets = table(spark, d, "part").groupBy("p_brand").agg(F.concat_ws("\t", F.first("p_brand"), F.lit("a set"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("m"), F.col("p_partkey").cast("string")))), "\t")).alias("value"))
+    return annotation.read_gmt(spark, _file(spark, sets, "gmt"))
+
+
+def read_gtf(spark, d):
+    k = F.col("c_custkey").cast("string")
+    attr = F.concat(F.lit('gene_id "E'), k, F.lit('.3"; gene_type "'), F.lower("c_mktsegment"), F.lit('"; gene_name "'), "c_name", F.lit('";'))
+    line = F.concat_ws("\t", F.lit("chr1"), F.lit("x"), F.when(F.col("c_nationkey") % 2 == 0, "gene").otherwise("exon"), k, k, F.lit("."), F.lit("+"), F.lit("."), attr)
+    return annotation.read_gtf_genes(spark, _file(spark, table(spark, d, "customer").select(line.alias("value")), "gtf"), gene_types=["building", "machinery"]).select("ensembl_id", "symbol", "gene_type")
+
+
+def read_hgnc(spark, d):
+    p = table(spark, d, "part").select(F.concat(F.lit("H:"), F.col("p_partkey").cast("string")).alias("hgnc_id"), F.col("p_name").alias("symbol"), F.col("p_partkey").cast("string").alias("entrez_id"), F.when(F.col("p_size") > 5, F.concat(F.lit("E"), F.col("p_partkey").cast("string"))).alias("ensembl_gene_id"), F.when(F.col("p_size") % 2 == 0, "gene with protein product").otherwise("pseudogene").alias("locus_type"))
+    path = scratch_path(spark, "hgnc")
+    p.write.option("header", True).option("sep", "\t").csv(path)
+    return annotation.read_hgnc(spark, path).select("ensembl_id", "symbol", "entrez_id", "hgnc_id")
+
+
+def read_fasta(spark, d):
+    record = F.concat(F.lit(">p"), F.col("p_partkey").cast("string"), F.lit(" "), "p_name", F.lit("\n"), F.repeat(F.lit("ACGT"), F.col("p_size")), F.lit("\nTT"))
+    return files.read_fasta(spark, _file(spark, table(spark, d, "part").select(record.alias("value")), "fasta"))
 
 
 def wilson_interval(spark, d):
@@ -339,7 +411,7 @@ def kde(spark, d):
 
 
 def hexbin(spark, d):
-    return stats.hexbin(table(spark, d, "lineitem"), "l_quantity", "l_discount")
+    return stats.hexbin(table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_discount").cast("double").alias("y")), "x", "y")
 
 
 def zscore_clip(spark, d):
@@ -377,7 +449,7 @@ def status_change(spark, d):
 
 
 def group_collect(spark, d):
-    return stats.group_collect(table(spark, d, "orders").where("o_orderkey % 5 = 0"), "o_custkey", "o_orderpriority", "priorities", ";")
+    return stats.group_collect(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "priorities", ";")
 
 
 def group_tuple(spark, d):
@@ -430,7 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ora, ora_mf_baseline, closure, ancestors, descendants, propagate, mf_score, mf_rank, mf_baseline_hits, parents, children, term_search, facts_with, annotations_of, ortholog_map, average_precision,
         pr_enrichment, bh_qvalues, compose_union, compose_intersection, terms_diff, set_minus, set_and, cross_union, band_join, semi_join, anti_join, left_lookup, symbol_resolve, rect_overlap, dedupe_first_, topk,
-        topk_by, total_rank_, normalize_text, extract_year, extract_doi, first_author, term_uris, slugs, sha256, title_similarity, classify_citation, status_counts, validate_citations, parse_references,
+        topk_by, total_rank_, normalize_text, extract_year, extract_doi, first_author, term_uris, slugs, sha256, title_similarity, classify_citation, status_counts, validate_citations, parse_references, parse_latex, parse_bibtex, read_gaf, read_obo, read_gmt, read_gtf, read_hgnc, read_fasta,
         wilson_interval, grand_stats, box_stats, histogram, kde, hexbin, zscore_clip, log_transform, suggest_log, clip_small_negative, mask_diagonal, schedule_variance, status_change, group_collect, group_tuple,
         transpose, channel_join_remainder, branch, json_count, row_block_hash, nunique, finite, page_sets,
     )
@@ -454,7 +526,7 @@ CLASSIFY_SQL = """SELECT o_orderkey, CASE WHEN NOT found THEN CASE WHEN doi THEN
 ORACLE_SQL: dict[str, str] = {
     "ora": f"""WITH {ORA_SQL} SELECT set_id, set_size, k_all AS set_size_after_filter, k AS n_hits_in_set, round(expected, 9) AS expected_hits, round(k / nullif(expected, 0), 9) AS fold_enrichment,
         round(p, 9) AS pvalue, round(q, 9) AS qvalue FROM ({_bh_sql('pv', 'p', 'q')})""",
-    "ora_mf_baseline": f"""WITH {ORA_SQL}, pf AS (SELECT DISTINCT l_partkey AS m, l_suppkey % 10 AS term FROM lineitem WHERE l_partkey % 3 = (l_suppkey % 10) % 3),
+    "ora_mf_baseline": f"""WITH {ORA_SQL}, pf AS (SELECT DISTINCT l_partkey AS m, l_suppkey % 10 AS term FROM lineitem),
         pt AS (SELECT term, count(*) AS c FROM pf GROUP BY term), pn AS (SELECT count(DISTINCT m) AS t FROM pf),
         pm AS (SELECT m, sum(CASE WHEN c < t THEN 1.0::DOUBLE / (c * (t - c)) ELSE 0 END) AS mf FROM pf JOIN pt USING (term), pn GROUP BY m),
         top AS (SELECT m FROM pm WHERE m IN (SELECT m FROM bg) ORDER BY round(mf, 12) DESC, m LIMIT (SELECT n::BIGINT FROM tot)),
@@ -471,9 +543,9 @@ ORACLE_SQL: dict[str, str] = {
     "mf_baseline_hits": f"WITH RECURSIVE {MF_SQL} SELECT entity FROM mf WHERE entity IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12) ORDER BY round(mf_score, 10) DESC, entity LIMIT 10",
     "parents": "SELECT 18::INT AS id UNION SELECT 12::INT",
     "children": "SELECT k::INT AS id FROM range(2, 51) t(k) WHERE k // 2 = 7",
-    "term_search": "SELECT p_partkey AS term_id, p_name AS term_label, CASE WHEN contains(lower(p_name), 're') THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're')",
+    "term_search": "SELECT p_partkey AS term_id, p_name AS term_label, CASE WHEN contains(lower(p_name), 're') THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're') ORDER BY score DESC, term_label, term_id LIMIT 25",
     "facts_with": f"WITH RECURSIVE {CLOSURE_SQL}, f AS ({FACTS_SQL}) SELECT entity, term, term <> 5 AS propagated FROM f WHERE term = 5 OR term IN (SELECT term FROM c WHERE ancestor = 5)",
-    "annotations_of": f"""WITH RECURSIVE {CLOSURE_SQL}, f AS (SELECT *, CASE WHEN term % 2 = 0 THEN 'A' ELSE 'B' END AS evidence FROM ({FACTS_SQL}) WHERE entity <= 5),
+    "annotations_of": f"""WITH RECURSIVE {CLOSURE_SQL}, f AS (SELECT *, CASE WHEN term % 2 = 0 THEN 'A' ELSE 'B' END AS evidence FROM ({FACTS_SQL})),
         up AS (SELECT entity, ancestor::INT AS term, evidence, min(term) AS propagated_from FROM f JOIN c USING (term) GROUP BY ALL)
         SELECT entity, term, evidence, FALSE AS propagated, NULL::INT AS propagated_from FROM f
         UNION ALL SELECT entity, term, evidence, TRUE, propagated_from FROM up WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.entity = up.entity AND f.term = up.term AND f.evidence = up.evidence)""",
@@ -492,7 +564,7 @@ ORACLE_SQL: dict[str, str] = {
     "band_join": f"WITH {BAND_SQL} SELECT * FROM j",
     "nunique": f"WITH {BAND_SQL} SELECT count(DISTINCT left_event_id) AS n_events FROM j",
     "semi_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
-    "anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "left_lookup": "SELECT o_custkey AS c_custkey, o_orderkey, coalesce(c_mktsegment, '') AS c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey",
     "symbol_resolve": "SELECT lower(n_name) AS name, n_name, n_nationkey FROM nation",
     "rect_overlap": """WITH p AS (SELECT *, p_size::DOUBLE AS x0, p_retailprice % 50 AS y0, p_size + 1.5::DOUBLE AS x1, p_retailprice % 50 + 2 AS y1 FROM part)
@@ -502,7 +574,26 @@ ORACLE_SQL: dict[str, str] = {
     "topk": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "topk_by": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
     "total_rank": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders",
-    "normalize_text": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(text, '[^\x20-\x7eÀ-ÖØ-öø-ÿ\n]|[ßæÆøØðÐþÞ_{}\\]', '', 'g'))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents""",
+    "normalize_text": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(coalesce(text, ''), '\\[A-Za-z]+\{', '{', 'g'))), '[^\x00-\x7f]', '', 'g'), '[{}]', '', 'g'),
+        '[^0-9a-z_]', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents""",
+    "parse_references": """SELECT p_partkey::VARCHAR AS doc, '1' AS key, 'unknown' AS entry_type, 'A study of every ' || p_name || ' in use' AS title, '10.1186/s13059-' || p_partkey AS doi, (1950 + p_partkey % 70)::INT AS year,
+        'Q' || translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') AS first_author, NULL::VARCHAR AS journal FROM part""",
+    "parse_latex": """SELECT p_brand AS doc, 'k' || p_partkey AS key, 'latex_bibitem' AS entry_type, 'A study of every ' || p_name || ' in use' AS title, (1950 + p_partkey % 70)::INT AS year,
+        'Q' || translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') AS first_author FROM part""",
+    "parse_bibtex": """SELECT 'k' || p_partkey AS key, 'article' AS entry_type, 'A ' || p_name || ' study' AS title, '10.1186/s13059-' || p_partkey AS doi, (1950 + p_partkey % 70)::INT AS year,
+        'Q' || translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') AS first_author, 'J & T' AS journal FROM part""",
+    "read_gaf": """SELECT 'DB' AS db, p_partkey AS db_id, p_name AS symbol, 'part_of' AS qualifier, 'GO:' || lpad(p_size::VARCHAR, 7, '0') AS term_id, CASE WHEN p_size % 2 = 0 THEN 'IDA' ELSE 'IEA' END AS evidence_code,
+        'P' AS aspect, p_type AS synonyms, 'taxon:9606' AS taxon FROM part WHERE p_size % 5 <> 0""",
+    "read_obo": """WITH t AS (SELECT p_partkey AS k, p_name FROM part WHERE p_partkey % 10 <> 7 AND p_partkey >= 2)
+        SELECT 'P:' || k AS child, 'P:' || (k // 2) AS parent, 'is_a' AS relation, p_name AS name FROM t UNION ALL SELECT 'P:' || k, 'P:' || (k // 3), 'part_of', p_name FROM t""",
+    "read_gmt": "SELECT p_brand AS set_id, 'a set' AS set_name, 'M' || p_partkey AS member FROM part",
+    "read_gtf": """SELECT 'E' || c_custkey AS ensembl_id, c_name AS symbol, lower(c_mktsegment) AS gene_type FROM customer WHERE c_nationkey % 2 = 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')""",
+    "read_hgnc": "SELECT 'E' || p_partkey AS ensembl_id, p_name AS symbol, p_partkey::VARCHAR AS entrez_id, 'H:' || p_partkey AS hgnc_id FROM part WHERE p_size > 5 AND p_size % 2 = 0",
+    "read_fasta": "SELECT 'p' || p_partkey || ' ' || p_name AS header, repeat('ACGT', p_size) || 'TT' AS sequence, (4 * p_size + 2)::INT AS length FROM part",
+    "hexbin": """WITH e AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_discount) AS y0, max(l_discount) AS y1 FROM lineitem),
+        p AS (SELECT (l_quantity - x0) / greatest(x1 - x0, 1e-12) * 40 AS u, (l_discount - y0) / greatest(y1 - y0, 1e-12) * 23 AS v FROM lineitem, e),
+        q AS (SELECT *, pow(u - round(u), 2) + 3 * pow(v - round(v), 2) < pow(u - floor(u) - 0.5, 2) + 3 * pow(v - floor(v) - 0.5, 2) AS even FROM p)
+        SELECT CASE WHEN even THEN round(u) ELSE floor(u) + 0.5 END AS hx, CASE WHEN even THEN round(v) ELSE floor(v) + 0.5 END AS hy, count(*) AS count FROM q GROUP BY ALL""",
     "extract_year": "SELECT page_id, CASE WHEN 1890 + page_id % 230 BETWEEN 1900 AND 2099 THEN 1890 + page_id % 230 ELSE 2001 END::INT AS year FROM pages",
     "extract_doi": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '10.1186/science0' ELSE '10.1186/s13059-014-' || (page_id % 7)::VARCHAR END AS doi,
         CASE WHEN page_id % 3 = 0 THEN '10.1186/science0' ELSE '10.1186/s13059-014-' || (page_id % 7)::VARCHAR END AS clean FROM pages""",
@@ -542,7 +633,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT l_orderkey, l_linenumber, o_orderdate::DATE - DATE '1992-01-01' AS s, o_orderdate::DATE - DATE '1992-01-01' + 90 AS e, l_shipdate::DATE - DATE '1992-01-01' AS done FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "status_change": """SELECT k, CASE WHEN b > a THEN 'promotion' WHEN b < a THEN 'regression' ELSE 'unchanged' END AS change
         FROM (SELECT o_orderkey AS k, list_position(['O', 'P', 'F'], o_orderstatus) AS a, list_position(['O', 'P', 'F'], CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END) AS b FROM orders)""",
-    "group_collect": "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS priorities, count(DISTINCT o_orderpriority)::INT AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY o_custkey",
+    "group_collect": "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ';' ORDER BY o_orderpriority) AS priorities, count(DISTINCT o_orderpriority)::INT AS n FROM orders GROUP BY o_custkey",
     "group_tuple": "SELECT conv_id, string_agg(role, ';' ORDER BY turn) AS roles, string_agg(turn::VARCHAR, ';' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id",
     "transpose": "SELECT conv_id, turn, role FROM conversations",
     "channel_join_remainder": "SELECT coalesce(a.c_custkey, b.c_custkey) AS k, a.c_name AS a, b.c_mktsegment AS b FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 <> 0) b ON a.c_custkey = b.c_custkey",

@@ -81,6 +81,42 @@ def test_bh(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.04, 0.5, 0.01])], "i int, pvalue double")
     q = [r["qvalue"] for r in enrichment.bh_qvalues(df).orderBy("i").collect()]
     assert q == pytest.approx([0.03, 0.048, 0.048, 0.048, 0.5, 0.03])
+    values = [(i * 7919 % 1013) / 1013 for i in range(3000)]
+    ranked = sorted(range(3000), key=lambda i: values[i])
+    want, least = {}, 1.0
+    for rank in range(3000, 0, -1):
+        least = min(least, values[ranked[rank - 1]] * 3000 / rank)
+        want[ranked[rank - 1]] = least
+    df = spark.createDataFrame([*enumerate(values), (3000, None)], "i int, pvalue double")
+    for few in (False, True):
+        found = {r["i"]: r["qvalue"] for r in enrichment.bh_qvalues(df, few=few).collect()}
+        assert found.pop(3000) is None and found == pytest.approx(want)
+
+
+def test_null_draws_are_uniform_sets():
+    """Every set of two of five ranks comes equally often, so the mean average precision is that over all sets."""
+    draws = enrichment._null_draws(5, 2, 0, 0, 40_000)
+    every = [(1 / a + 2 / b) / 2 for a in range(1, 6) for b in range(a + 1, 6)]
+    assert {round(x, 9) for x in draws} == {round(x, 9) for x in every} and draws.mean() == pytest.approx(sum(every) / 10, abs=0.005)
+    counts = [sum(abs(draws - x) < 1e-9) for x in every]
+    assert min(counts) > 3600 and max(counts) < 4400
+    assert enrichment._null_draws(4, 4, 0, 0, 3).tolist() == [1.0, 1.0, 1.0]
+
+
+def test_hexagons_equal_brute_force(spark):
+    """Each point belongs to the nearest of all centres."""
+    points = [((i * 7919 % 1009) / 10, (i * 104729 % 997) / 7) for i in range(500)]
+    df = spark.createDataFrame(points, "x double, y double")
+    got = {(r["hx"], r["hy"]): r["count"] for r in stats.hexbin(df, "x", "y", 12).collect()}
+    (x0, x1), (y0, y1) = ((min(c), max(c)) for c in zip(*points, strict=True))
+    rows = max(1, int(12 / math.sqrt(3)))
+    centres = [(a, b) for a in range(14) for b in range(rows + 2)] + [(a + 0.5, b + 0.5) for a in range(-1, 14) for b in range(-1, rows + 2)]
+    want = {}
+    for x, y in points:
+        u, v = (x - x0) / (x1 - x0) * 12, (y - y0) / (y1 - y0) * rows
+        best = min(centres, key=lambda c: ((u - c[0]) ** 2 + 3 * (v - c[1]) ** 2, c[0] == int(c[0]), -c[0], -c[1]))
+        want[best] = want.get(best, 0) + 1
+    assert got == want and sum(got.values()) == 500
 
 
 def test_average_precision_and_nulls(spark):
@@ -150,7 +186,11 @@ def test_order_and_channels(spark):
     df = spark.createDataFrame([(i, i % 3, f"x{i}") for i in range(30)], "i int, g int, x string")
     assert {(r["g"], r["i"]) for r in dedupe_first(df, ["g"], [F.desc("i")]).collect()} == {(0, 27), (1, 28), (2, 29)}
     assert sorted((r["i"], r["rank"]) for r in total_rank(df, [F.desc("i")]).collect()) == [(i, 30 - i) for i in range(30)]
-    assert sorted(r["ordinal"] for r in with_ordinal(df).collect()) == list(range(30))
+    assert [r["i"] for r in sorted(with_ordinal(df).collect(), key=lambda r: r["ordinal"])] == list(range(30))
+    many = spark.range(0, 3000, 1, 7).select("id", (F.col("id") * 7919 % 1009).alias("v"))
+    want = {r: k for k, r in enumerate(sorted(range(3000), key=lambda i: (-(i * 7919 % 1009), i)), 1)}
+    assert {r["id"]: r["rank"] for r in total_rank(many, [F.desc("v"), F.asc("id")]).collect()} == want
+    assert total_rank(many.limit(0), [F.asc("id")]).count() == 0
     with pytest.raises(EngineError):
         assert_schema(df, ["nope"], "test")
     grouped = channels.group_tuple(df, "g", ["i"])
