@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import drop_path, scratch_path
+
 #: Bytes of the 256 that separate words: space and \t to \r.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, *range(9, 14)]] = True
@@ -30,34 +29,6 @@ def fresh(df: DataFrame, name: str) -> str:
 # ---------------------------------------------------------------- scratch tables
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ramify-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the scratch folder; it goes when the application ends, or by drop_path()."""
-    path = f"{scratch_dir(spark)}/ramify-{tag}-{uuid.uuid4().hex}"
-    atexit.register(drop_path, spark, path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path, if it is still there and Spark still runs."""
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clean
-        pass
-
-
 class Scratch:
     """Intermediate tables of one operator call, written as Parquet where all executors can read them."""
 
@@ -243,6 +214,10 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+#: Copies of a root that moves, over which the nodes below it are spread.
+SALTS = 16
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -262,12 +237,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(scratch: Scratch, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of edges (two long columns, no nulls): node, root for every node but the roots themselves.
 
-    Each round deals the links by their larger end, contracts every partition to a forest, and replaces each
-    root by its own root. It ends when a round changes nothing. Links stay on the executors; a hub never meets
-    all its links in one task, as they are dealt by the other end, and the join by root is one that AQE can split.
+    Links are contracted to forests where they are, so that a hub has one link a partition at most, and dealt by
+    their larger end. Each round contracts every partition again and replaces each root by its own root; only roots
+    that move are joined, spread over SALTS copies, as many rows may share one. It ends when a round changes nothing.
     """
     one, two = edges.columns
-    links = edges.select(F.greatest(one, two).alias("node"), F.least(one, two).alias("root")).where("node <> root")
+    links = edges.select(F.greatest(one, two).alias("node"), F.least(one, two).alias("root")).where("node <> root").mapInArrow(_contract, "node long, root long")
     before = None
     for i in range(60):
         forest = links.repartition("node").mapInArrow(_contract, "node long, root long")
@@ -275,7 +250,10 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc") -> DataFrame
         if i:
             scratch.drop(f"{tag}-links{i - 1}")
         up = forest.groupBy(F.col("node").alias("up")).agg(F.min("root").alias("top"))
-        links = forest.join(up, forest["root"] == up["up"], "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved"))
+        roots = forest.select("root").distinct()
+        moves = roots.join(up, roots["root"] == up["up"]).select("up", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = forest.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        links = salted.join(moves, (salted["root"] == moves["up"]) & (salted["_salt"] == moves["salt"]), "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved"))
         links = scratch.write(links, f"{tag}-links{i}")
         scratch.drop(f"{tag}-forest{i}")
         now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.col("moved").cast("long")), F.lit(0)), F.bit_xor(F.xxhash64("node", "root"))).first())

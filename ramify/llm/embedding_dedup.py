@@ -115,16 +115,22 @@ def _cells(s: dict[str, int]):
 
 
 def collisions(p: np.ndarray, reach: float) -> np.ndarray:
-    """How many of the projections (rows of p are vectors) put each two vectors into windows centred on each other."""
+    """How many of the projections (rows of p are vectors) put each two vectors into windows centred on each other.
+
+    Each projection is sorted. The window of a vector then ends within its sorted order, and all windows are filled in
+    by one comparison of places.
+    """
     n = len(p)
-    out = np.zeros((n, n), np.uint8)
+    out, place = np.zeros((n, n), np.uint8), np.empty(n, np.int32)
     for k in range(p.shape[1]):
         order = np.argsort(p[:, k], kind="stable")
         v = p[order, k]
-        lo, hi = np.searchsorted(v, v - reach), np.searchsorted(v, v + reach, "right")
-        span = np.arange(n)
-        inside = (span >= lo[:, None]) & (span < hi[:, None])
-        out[np.ix_(order, order)] += inside
+        place[order] = np.arange(n, dtype=np.int32)
+        lo, size = np.empty(n, np.int32), np.empty(n, np.int32)
+        first = np.searchsorted(v, v - reach)
+        lo[order], size[order] = first, np.searchsorted(v, v + reach, "right") - first
+        # below the window the difference wraps round to a large number
+        out += (place[None, :] - lo[:, None]).view(np.uint32) < size[:, None].view(np.uint32)
     return out
 
 

@@ -5,7 +5,8 @@ The planner works on the histogram of piece lengths (at most `seq_len` numbers,
 the longest length left, finds by bitset subset-sum dynamic programming the fullest feasible combination with it, and
 removes that combination as often as the counts allow. A pattern uses up at least one length (but for a remainder),
 so there are few patterns for any number of documents. Each piece then finds its sequence from its rank among the
-pieces of its length, which salted windows and a table of (length, salt) counts give.
+pieces of its length, which salted windows and a table of (length, salt) counts give; a length has as many salts as
+its pieces need.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed each; a null id is kept; an empty
 table gives an empty result; columns beyond id and text are ignored. Sequence numbers run from 0 without gaps.
@@ -211,13 +212,20 @@ def _assign(places: np.ndarray, base: dict[tuple[int, int], int]):
     return run
 
 
-def pack(pieces: DataFrame, *, seq_len: int = 2048, salts: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, *, seq_len: int = 2048, rows_per_salt: int = 200_000) -> DataFrame:
     """pieces (id, piece, start, length, ids_crc32) with sequence_id and offset, both long.
 
-    What comes to the driver: seq_len * salts counts at most. Pieces themselves move once, to be numbered.
+    Pieces of a length are numbered in as many parts (salts) as their number needs, so no window holds much more than
+    rows_per_salt. What comes to the driver: a count for each length and part. Pieces themselves move once, to be
+    numbered.
     """
     spark = pieces.sparkSession
-    rows = pieces.select("id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int").alias("salt"))
+    parts = {r["length"]: -(-r["count"] // rows_per_salt) for r in pieces.groupBy("length").count().collect()}
+    several = {k: n for k, n in parts.items() if n > 1}
+    salts = F.lit(1)
+    if several:  # at most seq_len entries
+        salts = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x).cast("long") for kv in sorted(several.items()) for x in kv)), F.col("length")), F.lit(1))
+    rows = pieces.select("id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), salts).cast("int").alias("salt"))
     counts = sorted(tuple(r) for r in rows.groupBy("length", "salt").count().collect())
     histogram: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}

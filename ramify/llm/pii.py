@@ -92,7 +92,7 @@ CONTEXT = 4
 
 def shape(word: str) -> str:
     """Letters x or X and digits 9, runs of letters shortened to two, runs of digits kept up to five."""
-    s = re.sub(r"[0-9]", "9", re.sub(r"[a-zß-ÿ]", "x", re.sub(r"[A-ZÀ-Þ]", "X", word[:48])))
+    s = re.sub(r"[0-9]", "9", re.sub(r"[a-zß-ÿ]", "x", re.sub(r"[A-ZÀ-Þ]", "X", word)))
     s = re.sub(r"[^\x20-\x7e]", "u", s)
     return re.sub(r"9{6,}", "99999+", re.sub(r"(x|X|u)\1{2,}", r"\1\1", s))
 
@@ -118,7 +118,7 @@ def own_features(word: str) -> tuple[str, ...]:
     low, s = core.lower(), shape(core)
     d = sum(c.isdigit() for c in word)
     out = ["s=" + s, f"d={min(d, 20)}", f"n={min(len(core), 20)}", "p=" + shape(word[:1]), "e=" + shape(word[-1:])]
-    out.append("sep=" + re.sub(r"[0-9]+", "9", "".join(c for c in core if not c.isalpha()))[:12])
+    out.append("sep=" + re.sub(r"[0-9]+", "9", "".join(c for c in core if not c.isalpha())))
     out.append("mix=" + "".join(k for k, on in (("a", any(c.isalpha() for c in core)), ("9", d), ("@", "@" in core), ("+", "+" in core), (".", "." in core), ("-", "-" in core), ("(", "(" in word)) if on))
     if low in CUES:
         out.append("cue=" + low)
@@ -282,9 +282,27 @@ def train(table: list[tuple[list[str], list[str]]], epochs: int = 60, rate: floa
     return {"weights": weights, "transitions": (tr + hard).astype(np.float32)}
 
 
-def viterbi(model: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best labels (rows, words) of a padded batch; 0 beyond a row's length."""
-    emit, tr = model["weights"][ids].sum(2), model["transitions"]
+def emissions(model: dict[str, np.ndarray], rows: list[list[str]], part: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, words, labels) scores of the words by their features, and the lengths of the rows.
+
+    Features are made for parts of a row, with the neighbours that they look at, so that long rows take little memory.
+    """
+    lengths = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), int(lengths.max(initial=0)), len(LABELS)), np.float32)
+    parts = [(i, k) for i, r in enumerate(rows) for k in range(0, len(r), part)]
+    for at in range(0, len(parts), 64):
+        some = parts[at : at + 64]
+        ids, _ = pad([feature_ids(rows[i][max(0, k - 2) : k + part + 2])[min(k, 2) :][:part] for i, k in some])
+        scores = model["weights"][ids].sum(2)
+        for (i, k), score in zip(some, scores, strict=True):
+            n = min(part, len(rows[i]) - k)
+            out[i, k : k + n] = score[:n]
+    return out, lengths
+
+
+def viterbi(model: dict[str, np.ndarray], emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Best labels (rows, words) of a padded batch of emissions; 0 beyond a row's length."""
+    tr = model["transitions"]
     n, t, k = emit.shape
     score, back = emit[:, 0] + tr[-1], np.zeros((n, t, k), np.int8)
     for i in range(1, t):
@@ -362,13 +380,16 @@ def decoded_spans(texts: list[str], model: dict[str, np.ndarray], batch: int = 5
     runs = []
     for i, text in enumerate(texts):
         for run in windows(text) if re.search(r"[0-9@+]", text) else ():
-            for k in range(0, len(run), 200):  # long runs of triggers, in parts that share their border words
-                runs.append((i, run[max(0, k - CONTEXT) : k + 200]))
+            runs.append((i, run))
     runs.sort(key=lambda x: len(x[1]))
-    for k in range(0, len(runs), batch):
-        part = runs[k : k + batch]
-        ids, lengths = pad([feature_ids([texts[i][a:b] for a, b in run]) for i, run in part])
-        for (i, run), labels in zip(part, viterbi(model, ids, lengths), strict=True):
+    k = 0
+    while k < len(runs):  # batches of about the same length, and of so many words
+        stop = k + 1
+        while stop < len(runs) and stop - k < batch and (stop + 1 - k) * len(runs[stop][1]) <= 50_000:
+            stop += 1
+        part, k = runs[k:stop], stop
+        emit, lengths = emissions(model, [[texts[i][a:b] for a, b in run] for i, run in part])
+        for (i, run), labels in zip(part, viterbi(model, emit, lengths), strict=True):
             j = 0
             while j < len(run):
                 y = LABELS[labels[j]]

@@ -60,8 +60,8 @@ def features(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return key >> BITS, key & (SIZE - 1)
 
 
-def _learn(share: int, salt_bits: int):
-    """Counts of features by class over all rows, and the features of the rows whose hash is below share / 2^salt_bits."""
+def _learn(share: float):
+    """Counts of features by class over all rows, and the features of the rows whose hash is in the first `share` of all hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, SIZE), np.int64)
@@ -73,7 +73,7 @@ def _learn(share: int, salt_bits: int):
                 doc, feature = features(data, offsets, part.num_rows)
                 for c in (0, 1):
                     counts[c] += np.bincount(feature[y[doc] == c], minlength=SIZE)
-                kept = np.flatnonzero((h & ((1 << salt_bits) - 1)) < share)
+                kept = np.flatnonzero(h < share * 2.0**63)
                 if len(kept):
                     lo, hi = np.searchsorted(doc, kept), np.searchsorted(doc, kept, "right")
                     rows = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(lo, hi, strict=True)]
@@ -130,21 +130,24 @@ def fit_logistic(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[fl
     return float(t[0]), float(t[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int, held: int, sample: int) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int, held: int, sample: int, sample_bytes: int) -> dict:
     """The model from rows outside the held fold. docs: id, text; labels: id, label."""
     scratch = Scratch(docs.sparkSession)
     train = labels.where("label IN (0, 1)").groupBy("id").agg(F.max("label").cast("long").alias("label"))
     train = train.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(folds)) != held)
     train = scratch.write(train.select("id", "label", F.expr("xxhash64(id, 11) & 9223372036854775807").alias("h")), "labels")
     total = train.count()
-    share = (1 << 20) if total <= sample else int((1 << 20) * sample / total)
+    share = 1.0 if total <= sample else sample / total
     joined = texts_of(docs, train).select("id", "text", "label", "h")
-    learnt = scratch.write(joined.mapInArrow(_learn(share, 20), "kind int, key long, data binary"), "learnt")
+    learnt = scratch.write(joined.mapInArrow(_learn(share), "kind int, key long, data binary"), "learnt")
     counts = np.zeros((128, SIZE // 64), np.float64)
     for r in learnt.where("kind = 0").select("key", "data").repartition("key").mapInArrow(_sum, "key long, data binary").collect():
         counts[r["key"]] = np.frombuffer(r["data"], np.int64)
     counts = counts.reshape(2, SIZE)
-    got = sorted((r["key"], r["kind"] - 1, bytes(r["data"])) for r in learnt.where("kind > 0").collect())
+    # rows of very many features count for several: what comes to the driver is bounded in bytes, too
+    n_bytes = learnt.where("kind > 0").agg(F.sum(F.length("data").cast("long"))).first()[0] or 0
+    most = 2.0**63 * share * min(1.0, sample_bytes / max(n_bytes, 1))
+    got = sorted((r["key"], r["kind"] - 1, bytes(r["data"])) for r in learnt.where(F.col("kind") > 0).where(F.col("key") < F.lit(most)).collect())
     y = np.array([g[1] for g in got], np.int64)
     if len(set(y.tolist())) < 2:
         return {"weights": np.zeros(SIZE, np.float32), "scale": np.zeros(SIZE, np.float32), "curve": (0.0, {0: -3.0, 1: 3.0}.get(int(y[0]), 0.0) if len(y) else 0.0)}
@@ -186,12 +189,12 @@ def _score(model: dict):
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample: int = 6000, cutoff: float = 0.7
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, sample: int = 6000, sample_bytes: int = 64 << 20, cutoff: float = 0.7
 ) -> DataFrame:
-    """id_col, held_out boolean, score double, predicted int. sample: most training rows that the hinge-loss model is fitted on."""
+    """id_col, held_out boolean, score double, predicted int. sample, sample_bytes: about how many training rows, and bytes of their features, the hinge-loss model is fitted on at most."""
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    model = fit(rows.where("id IS NOT NULL"), labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")), folds=folds, held=held, sample=sample)
+    model = fit(rows.where("id IS NOT NULL"), labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")), folds=folds, held=held, sample=sample, sample_bytes=sample_bytes)
     out = rows.mapInArrow(_score(model), "id long, score double")
     fold = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     return out.select(F.col("id").alias(id_col), (fold == held).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))

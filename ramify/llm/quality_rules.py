@@ -5,15 +5,18 @@ Cutoffs are learnt from labelled documents: of a fixed grid, from lenient to str
 exact binomial test rejects "it rejects more than `risk` / rules of the good documents" at level `error` divided by
 the number of (stratum, rule) tests. Within a rule, the fixed order needs no further correction; over rules and
 strata, Bonferroni's holds. So with probability 1 - error, no stratum loses more than `risk` of its good documents.
+Strata with so few good rows that not even a rule without a rejection could pass at the level of a lone stratum are
+not tested, and count for no test.
 
-Defined results: a null text is empty (no words, so base_failed); a null stratum is the empty one; a stratum that is
-rare or in which nothing can be certified rejects nothing by the learnt rules; a document that several label rows
-name is good if one says so; no labels: only the base rules decide; repeated rows are each judged; columns beyond
-those named are ignored.
+Defined results: a null text is empty (no words, so base_failed); a null stratum is the empty one; a stratum in which
+nothing can be certified rejects nothing by the learnt rules; a document that several label rows name is good if one
+says so; no labels: only the base rules decide; repeated rows are each judged; an empty table gives an empty result;
+columns beyond those named are ignored; of columns carried along, those with the name of a result give way to it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,7 @@ from pyspark.sql import Window as W
 from .common import NOT_SPACE, SPACE, Scratch
 
 WINDOW = 5
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -70,7 +74,7 @@ def base_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(WINDOW)))),
         ).alias("h"),
     )
-    counts = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines")
+    counts = COUNTS[:-1]
     t = t.select(*keep, *counts, F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"))
     twice = F.filter(
         F.transform("s", lambda e, k: F.when((e["x"] == F.get("s", k - 1)["x"]) | (e["x"] == F.get("s", k + 1)["x"]), e["i"])),
@@ -111,59 +115,61 @@ def binomial_cdf(df: DataFrame, n: str, k: str, p: float, name: str) -> DataFram
 # ---------------------------------------------------------------- cutoffs
 
 
-def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: float, error: float, least: int, most_strata: int, rules: tuple[Rule, ...] = RULES) -> dict[tuple[str, str], float]:
-    """(stratum, rule) to the strictest certified cutoff, where there is one, for strata of `least` good rows or more.
+def least_good(risk: float, error: float, rules: int) -> int:
+    """Good rows of a lone stratum with which a rule that rejects none of them is certified."""
+    return math.ceil(math.log(error / rules) / math.log(1 - risk / rules))
 
-    Cutoffs go to the `most_strata` largest strata at most; so what comes to the driver is bounded.
+
+def learn_cutoffs(counts: DataFrame, labels: DataFrame, risk: float, error: float, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """stratum, cutoffs: a map from rule to the strictest certified cutoff, for the strata that have any.
+
+    counts: _id, _stratum and the counts. A row a stratum and rule after the first aggregation, however many documents.
     """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("good_id"))
-    held = counts.join(good, counts["doc_id"] == good["good_id"], "left_semi")
+    held = counts.join(good, counts["_id"] == good["good_id"], "left_semi")
     index = []
     for r in rules:
         grid = "array(" + ", ".join(f"{c}D" for c in r.grid) + ")"
         index.append(F.expr(f"struct('{r.name}' AS rule, size(filter({grid}, c -> {r.value} {'<' if r.below else '>'} c)) AS rejecting)"))
-    per = held.select("stratum", F.explode(F.array(*index)).alias("r")).groupBy("stratum", "r.rule", "r.rejecting").count()
+    per = held.select(F.col("_stratum").alias("stratum"), F.explode(F.array(*index)).alias("r")).groupBy("stratum", "r.rule", "r.rejecting").count()
     # a value that `rejecting` cutoffs reject is rejected by the strictest ones: positions from the end of the grid
     sizes = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.lit(len(r.grid)))))
+    grids = F.create_map(*(x for r in rules for x in (F.lit(r.name), F.array(*(F.lit(c) for c in r.grid)))))
     total = per.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.collect_list(F.struct("rejecting", "count")).alias("by"))
-    total = total.where(F.col("n") >= least)
-    chosen = [r[0] for r in total.groupBy("stratum").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(most_strata).collect()]
-    if not chosen:
-        return {}
-    total = total.where(F.col("stratum").isin(chosen))
-    tests = len(chosen) * len(rules)
+    total = total.where(F.col("n") >= least_good(risk, error, len(rules)))
+    tests = total.agg(F.count_distinct("stratum").alias("strata")).withColumn("tests", F.col("strata") * len(rules)).select("tests")
     at = total.select("stratum", "rule", "n", "by", F.explode(F.sequence(F.lit(0), sizes[F.col("rule")] - 1)).alias("at"), sizes[F.col("rule")].alias("size"))
     k = F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + F.when(x["rejecting"] >= F.col("size") - F.col("at"), x["count"]).otherwise(0))
-    p = binomial_cdf(at.select("stratum", "rule", "n", "at", k.alias("k")), "n", "k", risk / len(rules), "p")
+    p = binomial_cdf(at.select("stratum", "rule", "n", "at", k.alias("k")), "n", "k", risk / len(rules), "p").crossJoin(F.broadcast(tests))  # one row
     order = W.partitionBy("stratum", "rule").orderBy("at")
-    passed = p.withColumn("worst", F.max("p").over(order)).where(F.col("worst") <= error / tests)
-    best = passed.groupBy("stratum", "rule").agg(F.max("at").alias("at")).collect()
-    grids = {r.name: r.grid for r in rules}
-    return {(s[1:], rule): grids[rule][i] for s, rule, i in best}
+    passed = p.withColumn("worst", F.max("p").over(order)).where(F.col("worst") <= error / F.col("tests"))
+    best = passed.groupBy("stratum", "rule").agg(F.max("at").alias("at")).select("stratum", F.struct("rule", grids[F.col("rule")][F.col("at")].alias("cutoff")).alias("e"))
+    return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list("e")).alias("cutoffs"))
 
 
 def apply_rules(
-    docs: DataFrame, labels: DataFrame, *, keep_columns: tuple[str, ...] = (), stratum: str = "lang", risk: float = 0.02, error: float = 0.05, least: int = 300, most_strata: int = 100, min_words: int = 10, max_repeat: int = 20
+    docs: DataFrame, labels: DataFrame, *, keep_columns: tuple[str, ...] = (), stratum: str = "lang", risk: float = 0.02, error: float = 0.05, min_words: int = 10, max_repeat: int = 20, few_strata: int = 10_000
 ) -> DataFrame:
-    """doc_id, stratum, the counts, base_failed, kept, failed_rule (the first rule that rejects, null if none).
+    """doc_id, keep_columns, stratum, the counts, base_failed, failed_rule (the first rule that rejects, null if none), kept.
 
     keep_columns: columns of docs to carry along with the counts (the pipeline's, so that no join is needed).
     risk: the share of good documents a stratum may lose to the learnt rules; error: the chance that one loses more.
+    few_strata: rows of the table of cutoffs up to which it is broadcast; a larger one is joined by shuffling.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    held = tuple(dict.fromkeys(("doc_id", *keep_columns)))
+    scratch = Scratch(docs.sparkSession)
+    results = ("stratum", *COUNTS, "base_failed", "failed_rule", "kept")
+    held = [c for c in dict.fromkeys(("doc_id", *keep_columns)) if c not in results]
     key = F.concat(F.lit("="), F.coalesce(F.col(stratum).cast("string"), F.lit(""))).alias("_stratum")
-    named = docs.select("doc_id", *(c for c in held if c != "doc_id"), F.col("text").alias("_text"), key)
-    counts = scratch.write(base_counts(named, text="_text", keep=(*held, "_stratum")).withColumnRenamed("_stratum", "stratum"), "quality-counts")
-    cutoffs = learn_cutoffs(counts, labels.select("doc_id", "quality"), risk, error, least, most_strata)
-    own = sorted({s for s, _ in cutoffs})
-    failed = F.when(F.col("n_words") < min_words, "few_words").when(100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"), "repetition")
+    named = docs.select(F.struct(*held).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"), key)
+    counts = scratch.write(base_counts(named, text="_text", keep=("_row", "_id", "_stratum")), "quality-counts")
+    cutoffs = scratch.write(learn_cutoffs(counts, labels.select("doc_id", "quality"), risk, error), "cutoffs")
+    if cutoffs.count() <= few_strata:
+        cutoffs = F.broadcast(cutoffs)
+    out = counts.join(cutoffs, counts["_stratum"] == cutoffs["stratum"], "left").drop("stratum")
     base = F.col("n_words").__lt__(min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    failed = F.when(F.col("n_words") < min_words, "few_words").when(100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"), "repetition")
     for r in RULES:
-        for s in own:
-            if (c := cutoffs.get((s, r.name))) is not None:
-                here = F.col("stratum") == "=" + s
-                failed = failed.when(here & (F.expr(r.value) < c if r.below else F.expr(r.value) > c), r.name)
-    out = counts.withColumn("base_failed", base).withColumn("failed_rule", failed)
-    return out.withColumn("kept", F.col("failed_rule").isNull()).withColumn("stratum", F.substr("stratum", F.lit(2)))
+        cutoff = F.try_element_at("cutoffs", F.lit(r.name))
+        failed = failed.when(F.expr(r.value) < cutoff if r.below else F.expr(r.value) > cutoff, r.name)
+    out = out.withColumns({"base_failed": base, "failed_rule": failed, "stratum": F.substr("_stratum", F.lit(2))}).withColumn("kept", F.col("failed_rule").isNull())
+    return out.select(*(F.col("_row")[c].alias(c) for c in held), *results)

@@ -121,11 +121,13 @@ def seek_table(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def read_frame(data: bytes, frame: int) -> bytes:
+def read_frames(data: bytes) -> Iterator[bytes]:
+    """The frames of a bundle in turn, by its seek table."""
     import zstandard
 
-    start, packed, plain = seek_table(data)[frame]
-    return zstandard.ZstdDecompressor().decompress(data[start : start + packed], max_output_size=max(plain, 1))
+    plain = zstandard.ZstdDecompressor()
+    for start, packed, size in seek_table(data):
+        yield plain.decompress(data[start : start + packed], max_output_size=max(size, 1))
 
 
 def _write(where: str, frame_bytes: int, bundle_bytes: int, level: int):
@@ -194,9 +196,9 @@ def _read(where: str):
             for name in batch.column(0).to_pylist():
                 with fs.open_input_file(f"{folder}/{name}") as file:
                     data = file.read()
-                for frame in range(len(seek_table(data))):
+                for frame, plain in enumerate(read_frames(data)):
                     cols = [[] for _ in range(7)]
-                    for offset, fields, payload in parse_records(read_frame(data, frame)):
+                    for offset, fields, payload in parse_records(plain):
                         ref = fields.get("WARC-Refers-To")
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         if ref is None and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"])):
@@ -214,6 +216,8 @@ def _read(where: str):
 def read_archives(spark: SparkSession, where: str) -> DataFrame:
     """All records of the bundles that the index names: id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits)."""
     names = spark.read.parquet(f"{where}/index").select("bundle").distinct()
+    # a bundle is much work for a few bytes of name, so names are dealt out one by one
+    names = names.repartition(min(max(names.count(), 1), 100_000))
     return names.mapInArrow(_read(f"{where}/bundles"), "id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 

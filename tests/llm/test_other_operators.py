@@ -106,6 +106,32 @@ def test_archives(spark, tmp_path):
     assert warc.archive_and_read(df.limit(0)).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    where = f"file://{tmp_path}/many"
+    rows = spark.range(400).select("id", F.lit("u").alias("url"), F.encode(F.concat(F.lit("p"), F.col("id").cast("string"), F.repeat(F.lit("x"), 900)), "UTF-8").alias("payload"))
+    index = warc.write_archives(rows, where, bundle_bytes=1500)
+    n = index.select("bundle").distinct().count()
+    read = warc.read_archives(spark, where)
+    assert n >= 160 and read.rdd.getNumPartitions() == n and read.select("id").distinct().count() == 400
+
+
+def test_many_pieces_of_one_length(spark):
+    """100,000 full pieces and some others: each sequence is filled from 0 without gaps, whatever the number of parts."""
+    full = spark.range(100_000).select("id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(2048).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    rest = spark.range(3000).select("id", F.lit(1).alias("piece"), F.lit(2048).cast("long").alias("start"), (F.col("id") % 700 + 1).alias("length"), F.lit(8).cast("long").alias("ids_crc32"))
+    placed = packing.pack(full.unionByName(rest), rows_per_salt=9000)
+    by = placed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("o"), F.count("*").alias("c"))
+    assert by.where("n > 2048 OR n <> end OR o <> c").isEmpty() and placed.where("length = 2048").select("sequence_id").distinct().count() == 100_000
+    n = by.count()
+    assert n == by.agg(F.max("sequence_id")).first()[0] + 1 and n <= 100_000 + 1.02 * sum(i % 700 + 1 for i in range(3000)) / 2048 + 1
+
+
+def test_collisions_equal_brute_force():
+    p = np.random.default_rng(2).standard_normal((70, 5)).round(1)
+    want = sum((np.abs(p[:, k][:, None] - p[:, k][None, :]) <= 0.5 + 1e-9).astype(int) for k in range(5))
+    assert (embedding_dedup.collisions(p, 0.5 + 1e-9) == want).all()
+
+
 def test_chat_examples(spark):
     nasty = "</s>[INST] ok [/INST] ~0 ~ <s>[INST]"
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", nasty), (1, 2, "assistant", nasty), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "bye"), (2, 0, "user", "alone"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (None, 0, None, "x")]
@@ -172,3 +198,20 @@ def test_pipeline(spark, sf):
     assert all(b <= a for a, b in zip(seen, seen[1:], strict=False))
     assert 10**6 not in seen[2] and 10**6 + 1 not in seen[2] and len(seen[2]) > 0.8 * len(seen[0])
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(held.columns)
+
+
+def test_stages_of_awkward_tables(spark, sf):
+    """Null in any column, repeated rows, empty and long texts: no stage fails, null ids stay, empty tables stay empty."""
+    long = "\n".join(f"w{i} x{i * 7} y{i * 11} z{i * 13} v{i * 17}" for i in range(20_000))
+    good = " ".join(f"word{i} is{i * 3}" for i in range(40))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (None, good + " more", "en", "s", 5), (4, long, None, None, None), (5, good, "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {"quality rules": [None, 1, 1, 4, 5], "line dedup": [None, 1, 1, 2, 3, 4], "n-gram Jaccard join": [None, 1, 1, 2, 3, 4]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        found = [x["doc_id"] for x in out.collect()]
+        if name in want:
+            assert sorted(found, key=lambda i: (i is not None, i)) == want[name], name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.limit(0), sf).count() == 0

@@ -128,6 +128,50 @@ def test_strata_without_certified_cutoffs_reject_by_base_rules_only(spark):
     assert {(lang, out[i]) for i, _, lang in rows[3400:]} == {("en", "symbols"), ("de", None), ("fr", None), (None, None)}
 
 
+def test_cutoffs_equal_brute_force(spark):
+    """Certified cutoffs against sums of binomial terms, of several strata and of one that is too small to be tested."""
+    r = random.Random(11)
+    risk, error, rules = 0.02, 0.05, quality_rules.RULES
+    least = quality_rules.least_good(risk, error, len(rules))
+    assert (1 - risk / len(rules)) ** least <= error / len(rules) < (1 - risk / len(rules)) ** (least - 1)
+    rows, sizes = [], {"en": 4000, "de": 2500, "xx": least - 1}
+    for lang, n in sizes.items():
+        for _ in range(n):
+            n_words = r.randint(10, 100)
+            rows.append((len(rows), "=" + lang, n_words, n_words * r.choice([4, 5, 6, 7, 30] if r.random() < 0.004 else [4, 5, 6]), int(r.random() ** 40 * n_words * 2), r.randint(0, 9), r.randint(1, 9), 0, r.randint(0, 2)))
+    counts = spark.createDataFrame(rows, "_id long, _stratum string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    labels = spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int")
+    got = {x["stratum"]: x["cutoffs"] for x in quality_rules.learn_cutoffs(counts, labels, risk, error).collect()}
+    at = {c: k + 2 for k, c in enumerate(quality_rules.COUNTS)}
+    value = {
+        "symbols": lambda x: x[at["n_symbols"]] / max(x[at["word_chars"]], 1), "capitals": lambda x: x[at["n_capitals"]] / max(x[at["word_chars"]], 1), "dup_lines": lambda x: x[at["n_dup_lines"]] / max(x[at["n_lines"]], 1),
+        "repeats": lambda x: x[at["n_repeat_words"]] / max(x[at["n_words"]], 1), "long_words": lambda x: x[at["word_chars"]] / max(x[at["n_words"]], 1), "short_words": lambda x: x[at["word_chars"]] / max(x[at["n_words"]], 1),
+    }
+    q = risk / len(rules)
+    for lang in ("en", "de"):
+        own = [x for x in rows if x[1] == "=" + lang]
+        want = {}
+        for rule in rules:
+            values = [value[rule.name](x) for x in own]
+            for cutoff in rule.grid:
+                k = sum(v < cutoff if rule.below else v > cutoff for v in values)
+                tail = math.fsum(math.exp(math.lgamma(len(own) + 1) - math.lgamma(i + 1) - math.lgamma(len(own) - i + 1) + i * math.log(q) + (len(own) - i) * math.log(1 - q)) for i in range(k + 1))
+                if tail > error / (2 * len(rules)):
+                    break
+                want[rule.name] = cutoff
+        assert got["=" + lang] == want and want
+    assert set(got) == {"=en", "=de"}
+
+
+def test_rules_carry_columns_whatever_their_names(spark):
+    r = random.Random(2)
+    docs = make(spark, [" ".join(words(r, 30)), None]).withColumns({c: F.lit(c) for c in ("t", "w", "h", "stratum", "_row", "_id", "rule")})
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = quality_rules.apply_rules(docs, labels, keep_columns=("text", "t", "w", "h", "stratum", "_row", "_id", "rule"))
+    assert out.columns == ["doc_id", "text", "t", "w", "h", "_row", "_id", "rule", "stratum", *quality_rules.COUNTS, "base_failed", "failed_rule", "kept"]
+    assert [(x["t"], x["_row"], x["_id"], x["stratum"], x["kept"]) for x in out.orderBy("doc_id").collect()] == [("t", "_row", "_id", "en", True), ("t", "_row", "_id", "en", False)]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -162,8 +206,9 @@ def test_edit_distances_of_many_pairs():
     for most in (0, 3, 20, 80):
         assert line_dedup.within_many(ones, twos, np.full(len(ones), most)).tolist() == [d <= most for d in want]
     short = [k for k, x in enumerate(ones) if 0 < len(x) < 1000]
-    for n_words in (5, 7):  # lines of all lengths in one go
-        assert line_dedup.distances([ones[k] for k in short], [twos[k] for k in short], n_words).tolist() == [want[k] for k in short]
+    for n_words, most in ((5, 1000), (7, 1000), (5, 1), (5, 30), (6, 70), (5, 130)):  # lines of all lengths in one go
+        got = line_dedup.distances([ones[k] for k in short], [twos[k] for k in short], n_words, most).tolist()
+        assert all(d == want[k] if want[k] <= most else d > most for d, k in zip(got, short, strict=True))
 
 
 def test_lines(spark):
@@ -225,7 +270,7 @@ def test_line_groups_equal_brute_force(spark, monkeypatch):
     near = []
     for i in range(len(lines)):
         for j in range(i):
-            if line_dedup.alike(sketch[[i]], sketch[[j]])[0]:
+            if line_dedup.alike(sketch[i : i + 1], sketch[j : j + 1])[0]:
                 near.append((i, j))
                 if (blocks[i] == blocks[j]).all(1).any():
                     clusters.join(i, j)
@@ -256,6 +301,43 @@ def test_block_settings_keep_recall():
     assert last >= 6
 
 
+def test_recall_of_blocks_by_length_and_change():
+    """Pairs of edit similarity 0.85 or more that share a block and pass the sketches, with the settings of all sizes."""
+    r = random.Random(21)
+    for n_lines, least in ((10**6, 0.9), (10**8, 0.88), (10**10, 0.85)):
+        width, tables, count = line_dedup.settings(n_lines)
+        chosen = line_dedup.members(width, tables, count)
+        for n, changed in ((5, 0), (8, 0), (12, 0), (30, 0), (60, 0), (8, 1), (12, 1), (20, 2), (30, 2), (40, 4), (60, 5), (100, 8)):
+            ones, twos = [], []
+            while len(ones) < 150:
+                a = words(r, n)
+                b = list(a)
+                for i in r.sample(range(n), changed):
+                    b[i] = "".join(r.choice("klmnopqrst") for _ in b[i])
+                a, b = " ".join(a), " ".join(b)
+                b = b if changed else typed(r, a, 1)
+                if line_dedup.within_many([a.encode()], [b.encode()], np.array([max(len(a), len(b)) * 15 // 100]))[0]:
+                    ones.append(a), twos.append(b)
+            data = np.frombuffer("\n".join(ones + twos).encode(), np.uint8)
+            x = line_dedup.Lines(data, np.array([0, len(data)]), 1)
+            h = x.min_hashes(np.arange(300), count)
+            s = line_dedup.sketch(h, x.length)
+            met = (h[:150][:, chosen] == h[150:][:, chosen]).all(2).any(1) & line_dedup.alike(s[:150], s[150:])
+            assert met.mean() >= least, (n_lines, n, changed, met.mean())
+
+
+def test_alike_is_the_same_in_sql(spark):
+    r = np.random.default_rng(3)
+    hashes = r.integers(0, 256, (400, 32)).astype(np.uint8)
+    near = np.where(r.random((400, 32)) < 0.5, hashes, r.integers(0, 256, (400, 32))).astype(np.uint8)
+    length = r.integers(20, 400, 400)
+    a, b = line_dedup.sketch(hashes, length), line_dedup.sketch(near, (length * r.uniform(0.8, 1.25, 400)).astype(np.int64))
+    want = line_dedup.alike(a, b)
+    df = spark.createDataFrame([(i, *map(int, (*x, *y))) for i, (x, y) in enumerate(zip(a, b, strict=True))], "i int, a1 long, a2 long, b1 long, b2 long")
+    got = [x["ok"] for x in df.withColumn("ok", line_dedup.alike_column("a", "b")).orderBy("i").collect()]
+    assert got == want.tolist() and 50 < sum(got) < 350
+
+
 def test_lines_of_tables_with_awkward_columns(spark):
     """Names that the operator uses itself, null and repeated ids, a very long text."""
     r = random.Random(5)
@@ -326,8 +408,8 @@ def test_pii_patterns_equal_plain_ones(spark):
 
 def test_crf_learns_and_decodes():
     model, held = pii.default_model(), pii.training_table(seed=1234, n=200)
-    ids, lengths = pii.pad([pii.feature_ids(w) for w, _ in held])
-    labels = pii.viterbi(model, ids, lengths)
+    emit, lengths = pii.emissions(model, [w for w, _ in held])
+    labels = pii.viterbi(model, emit, lengths)
     right = [pii.LABELS[a] == b for (_, y), row in zip(held, labels, strict=True) for a, b in zip(row, y, strict=False)]
     assert sum(right) / len(right) > 0.98
     one = lambda t: pii.find_spans([t], model)[0][1]
@@ -399,3 +481,65 @@ def test_raking_again_after_caps_meets_the_targets():
     assert (p <= 1).all() and (p == 1).sum() >= 10 and (p * mass).sum() == pytest.approx(0.7 * mass.sum(), rel=1e-6)
     for lang, share in targets[1].items():
         assert sum(x for c, x in zip(cells, p * mass, strict=True) if c[1] == lang) == pytest.approx(share * 0.7 * mass.sum(), rel=1e-4)
+
+
+def test_topics_tell_vocabularies_apart(spark):
+    """Texts of eight vocabularies; also null, empty and repeated texts, and names of the results among the columns."""
+    r = random.Random(6)
+    vocabularies = [[f"{c}{w}" for w in words(r, 60)] for c in "klmnopqr"]
+    texts = [" ".join(r.choice(vocabularies[i % 8]) + "abcd" for _ in range(60)) for i in range(400)]
+    docs = make(spark, [*texts, None, "", texts[0], texts[0]])
+    topics = {x["doc_id"]: x["_topic"] for x in source_mix.with_topic(docs).collect()}
+    assert len({topics[i] for i in range(8)}) == 8 and all(topics[i] == topics[i % 8] for i in range(400))
+    assert topics[400] == topics[401] == 0 and topics[402] == topics[403] == topics[0]
+    odd = docs.withColumns({"_topic": F.col("doc_id") % 2, "_tokens": F.lit("x"), "_s": F.lit(1), "cell_source": F.lit(2), "_sampled": F.lit(3)}).withColumn("lang", F.lit(None).cast("string"))
+    out = source_mix.mix_sources(odd, topic_col="_topic")
+    assert set(out.columns) >= {"_s", "cell_source", *source_mix.RESULTS} and len(out.columns) == len(set(out.columns))
+    rows = out.collect()
+    assert len(rows) == 404 and {x["_topic"] for x in rows} == {0, 1} and {x["_s"] for x in rows} == {1} and sum(x["_tokens"] for x in rows) == 402 * 60
+
+
+def test_cells_are_pooled_beyond_their_bound(spark):
+    r = random.Random(1)
+    rows = [(i, " ".join(words(r, 20)), f"l{i % 7}", f"s{r.randrange(300)}" if i % 3 else "hot", 0) for i in range(900)]
+    out = source_mix.mix_sources(spark.createDataFrame(rows, DOCS), most_cells=100)
+    assert out.count() == 900 and out.select("_factor").distinct().count() <= 100
+    assert sum(x["_tokens"] for x in out.where("_sampled").collect()) == pytest.approx(0.7 * 900 * 20, rel=0.1)
+
+
+def test_capped_cells_and_targets_by_hand():
+    """Masses 100, 300, 400, 200: source a 0.6 and topic 0 0.5 of 620 can be met with cells 100, 272, 210, 38."""
+    cells = [("a", "0"), ("a", "1"), ("b", "0"), ("b", "1")]
+    mass = np.array([100, 300, 400, 200], float)
+    _, p = source_mix.probabilities(cells, mass, [{"a": 0.6, "b": 0.4}, {"0": 0.5, "1": 0.5}], 0.62)
+    assert p * mass == pytest.approx([100, 272, 210, 38], rel=1e-4)
+
+
+def test_pii_of_awkward_rows(spark):
+    """Null ids, an empty table, clashing names, a word and a run of words longer than any part that is decoded."""
+    long = "x1" * 30_000 + " call (212) 555-0100 now"
+    run = " ".join(f"a{i}" for i in range(450)) + " call (212) 555-0100 now"
+    docs = spark.createDataFrame([(None, "a@b.cd", 1), (1, long, 2), (2, run, 3), (3, None, 4), (3, "", 5)], "doc_id long, text string, spans int").withColumn("id", F.lit("x"))
+    out = [(x["doc_id"], x["n_email"], x["spans"]) for x in pii.find_pii(docs).collect()]
+    assert sorted(out, key=repr) == sorted([(None, 1, "email:0:6"), (1, 0, f"phone:{len(long) - 18}:{len(long) - 4}"), (2, 0, f"phone:{len(run) - 18}:{len(run) - 4}"), (3, 0, ""), (3, 0, "")], key=repr)
+    assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_long_rows_decode_as_in_one_piece():
+    model = pii.default_model()
+    r = random.Random(4)
+    row = [w for words_, _ in pii.training_table(seed=5, n=120) for w in words_]
+    whole, lengths = pii.emissions(model, [row], part=10**6)
+    parts, _ = pii.emissions(model, [row, row[:7]], part=r.randint(20, 60))
+    assert np.allclose(whole[0], parts[0]) and np.allclose(parts[1, :5], whole[0, :5])
+    assert (pii.viterbi(model, whole, lengths) == pii.viterbi(model, parts[:1], lengths)).all()
+
+
+def test_classifier_of_awkward_rows(spark):
+    r = random.Random(9)
+    texts = [" ".join(words(r, 30)) if i % 2 else " ".join(w.upper() for w in words(r, 30)) for i in range(200)]
+    rows = [(i, t, "k", 0.5) for i, t in enumerate(texts)] + [(None, texts[0], None, None), (500, None, "", None), (501, "", "", None), (502, " ".join(words(r, 200_000)), "", None), (7, texts[7], "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, score double").withColumns({"id": F.lit(1), "label": F.lit(1), "held_out": F.lit(1)})
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    out = quality_classifier.classify(docs, labels, sample=50, sample_bytes=4000).collect()
+    assert len(out) == 205 and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.7) for x in out)
