@@ -283,9 +283,10 @@ def test_line_groups_equal_brute_force(spark, monkeypatch):
                     roots.join(i, j)
     want = {i: int(roots.find(i) != i) for i in range(len(lines))}
     assert sum(want.values()) > 150 and sum(want.values()) >= 0.98 * sum(plain.find(i) != i for i in range(len(lines)))
-    for unit, at_once in ((256, 1 << 16), (3, 5)):
+    for unit, at_once, held in ((256, 1 << 16, 2_000_000), (3, 5, 2_000_000), (3, 50, 40)):
         monkeypatch.setattr(line_dedup, "UNIT", unit)
         monkeypatch.setattr(line_dedup, "AT_ONCE", at_once)
+        monkeypatch.setattr(line_dedup, "HELD", held)
         out = {x["doc_id"]: x["_removed"] for x in line_dedup.dedup_lines(make(spark, lines)).collect()}
         assert out == want
 
