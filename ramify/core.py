@@ -114,5 +114,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def at_most(df: DataFrame, rows: int, operator: str) -> DataFrame:
+    """df, if it has no more rows than that: for what is gathered in one place."""
+    found = df.limit(rows + 1).count()
+    if found > rows:
+        raise EngineError(operator, f"more than {rows} rows to gather in one place")
+    return df
+
+
 def unique_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import at_most
+
 
 def join(left: DataFrame, right: DataFrame, on: str | Sequence[str], remainder: bool = False) -> DataFrame:
     """Inner join by key; with remainder, what is unmatched on either side stays."""
@@ -34,7 +36,8 @@ def transpose(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def collect(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
-    """One row: the column's values as one array in order."""
+    """One row: the column's values as one array in order; a million values at most."""
+    df = at_most(df, 1_000_000, "collect")
     return df.agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(column).alias("_v")))), lambda x: x["_v"]).alias(column))
 
 

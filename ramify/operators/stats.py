@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..core import EngineError
+from ..core import EngineError, total_rank
 
 
 def finite(*columns: str) -> Column:
@@ -193,6 +193,22 @@ def group_collect(df: DataFrame, by: str | Sequence[str], value: str, name: str
     return df.groupBy(*([by] if isinstance(by, str) else by)).agg((F.array_join(values, sep) if sep is not None else values).alias(name), F.size(values).alias("n"))
 
 
+def top_terms(results: DataFrame, *, database: str = "database", term: str = "term", order: Sequence[Column | str] = ("rank",)) -> DataFrame:
+    """A row for each database with results: total_terms and top_term, the first by the order (ties by term)."""
+    first = F.min_by(term, F.struct(*order, F.col(term)))
+    return results.groupBy(database).agg(F.count("*").alias("total_terms"), first.alias("top_term"))
+
+
+def group_order(df: DataFrame, group: str, order: Sequence[object] | None = None, *, by: str = "ordinal") -> DataFrame:
+    """group and its position from 0: by first appearance (the least of `by`), or as listed; then groups that aren't in df have found = false."""
+    if order is None:
+        seen = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min(by).alias("_first"))
+        return total_rank(seen, [F.asc("_first"), F.asc(group)], "_rank").select(group, (F.col("_rank") - 1).alias("position"), F.lit(True).alias("found"))
+    listed = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(order)], f"{group} {dict(df.dtypes)[group]}, position long")
+    present = df.select(group).distinct().withColumn("_here", F.lit(True))
+    return listed.join(present, group, "left").select(group, "position", F.coalesce("_here", F.lit(False)).alias("found"))
+
+
 def topk(df: DataFrame, order: Sequence[Column], k: int, by: Sequence[str] = ()) -> DataFrame:
     """The first k rows by a total order, of all or of each group."""
     if not by:

@@ -250,6 +250,19 @@ def topk_by(spark, d):
     return stats.topk(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 2, by=["o_custkey"])
 
 
+def top_terms(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("database"), F.col("p_name").alias("term"), F.col("p_retailprice").alias("rank"))
+    return stats.top_terms(p)
+
+
+def group_order(spark, d):
+    return stats.group_order(table(spark, d, "part"), "p_type", by="p_partkey").select("p_type", "position")
+
+
+def collect_values(spark, d):
+    return channels.collect(table(spark, d, "nation"), "n_name", ["n_regionkey", "n_name"]).select(F.array_join("n_name", ";").alias("names"))
+
+
 def total_rank_(spark, d):
     return total_rank(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")])
 
@@ -502,7 +515,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         ora, ora_mf_baseline, closure, ancestors, descendants, propagate, mf_score, mf_rank, mf_baseline_hits, parents, children, term_search, facts_with, annotations_of, ortholog_map, average_precision,
         pr_enrichment, bh_qvalues, compose_union, compose_intersection, terms_diff, set_minus, set_and, cross_union, band_join, semi_join, anti_join, left_lookup, symbol_resolve, rect_overlap, dedupe_first_, topk,
-        topk_by, total_rank_, normalize_text, extract_year, extract_doi, first_author, term_uris, slugs, sha256, title_similarity, classify_citation, status_counts, validate_citations, parse_references, parse_latex, parse_bibtex, read_gaf, read_obo, read_gmt, read_gtf, read_hgnc, read_fasta,
+        topk_by, top_terms, group_order, collect_values, total_rank_, normalize_text, extract_year, extract_doi, first_author, term_uris, slugs, sha256, title_similarity, classify_citation, status_counts, validate_citations, parse_references, parse_latex, parse_bibtex, read_gaf, read_obo, read_gmt, read_gtf, read_hgnc, read_fasta,
         wilson_interval, grand_stats, box_stats, histogram, kde, hexbin, zscore_clip, log_transform, suggest_log, clip_small_negative, mask_diagonal, schedule_variance, status_change, group_collect, group_tuple,
         transpose, channel_join_remainder, branch, json_count, row_block_hash, nunique, finite, page_sets,
     )
@@ -573,6 +586,9 @@ ORACLE_SQL: dict[str, str] = {
     "dedupe_first": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1",
     "topk": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "topk_by": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
+    "top_terms": "SELECT p_brand AS database, count(*) AS total_terms, first(p_name ORDER BY p_retailprice, p_name) AS top_term FROM part GROUP BY p_brand",
+    "group_order": "SELECT p_type, row_number() OVER (ORDER BY first, p_type) - 1 AS position FROM (SELECT p_type, min(p_partkey) AS first FROM part GROUP BY p_type)",
+    "collect_values": "SELECT string_agg(n_name, ';' ORDER BY n_regionkey, n_name) AS names FROM nation",
     "total_rank": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders",
     "normalize_text": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(regexp_replace(coalesce(text, ''), '\\[A-Za-z]+\{', '{', 'g'))), '[^\x00-\x7f]', '', 'g'), '[{}]', '', 'g'),
         '[^0-9a-z_]', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM documents""",

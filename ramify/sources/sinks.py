@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import EngineError, assert_schema
+from ..core import assert_schema, at_most, EngineError
 from ..operators.hierarchy import closure
 
 
@@ -78,8 +78,13 @@ def row_block(rows: Sequence[Mapping[str, object]], columns: Sequence[str] | Non
     return out.getvalue()
 
 
+#: Rows of a table that is written or hashed as one piece; larger ones are artifacts of many files.
+SMALL = 1_000_000
+
+
 def row_block_hash(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """One row: sha256 of a small table's canonical lines, in the given order; values are plain strings (no quoting)."""
+    df = at_most(df, SMALL, "row_block_hash")
     line = F.array_join(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), ",")
     lines = F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_line")))), lambda x: x["_line"])
     return df.agg(F.sha2(F.concat(F.lit(",".join(df.columns) + "\n"), F.array_join(lines, "\n"), F.lit("\n")), 256).alias("sha256"))
@@ -175,6 +180,7 @@ def provenance_lines(meta: Mapping[str, object], digest: str) -> list[str]:
 
 def write_commented(df: DataFrame, path: str, meta: Mapping[str, object], *, sep: str = ",", order: Sequence[str] = ()) -> str:
     """A small table as one delimited file below # lines of provenance. The hash is of the comma form, whatever the separator."""
+    df = at_most(df, SMALL, "write_commented")
     rows = [r.asDict() for r in (df.orderBy(*order) if order else df).collect()]
     block = row_block(rows, df.columns)
     digest = hashlib.sha256(block.encode()).hexdigest()

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ramify.core import EngineError, assert_schema, dedupe_first, total_rank, with_ordinal
+from ramify.core import assert_schema, at_most, dedupe_first, EngineError, total_rank, with_ordinal
 from ramify.operators import channels, enrichment, hierarchy, joins, setops, stats
 
 EDGES = [("b", "a"), ("c", "b"), ("d", "b"), ("d", "c"), ("e", "d")]
@@ -200,3 +200,14 @@ def test_order_and_channels(spark):
     assert channels.branch(df, "b", low=F.col("i") < 10, high=F.col("i") > 25).groupBy("b").count().count() == 2
     assert channels.combine(df.limit(3), df.limit(4).select(F.col("i").alias("j"))).count() == 12
     assert [r["part"] for r in channels.concat(df.limit(1), df.limit(1)).orderBy("part").collect()] == [0, 1]
+
+
+def test_small_summaries_and_bounds(spark):
+    df = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b"), (3, None)], "ordinal int, g string")
+    assert {(r["g"], r["position"]) for r in stats.group_order(df, "g").collect()} == {("b", 0), ("a", 1)}
+    assert {(r["g"], r["position"], r["found"]) for r in stats.group_order(df, "g", ["a", "zz"]).collect()} == {("a", 0, True), ("zz", 1, False)}
+    top = spark.createDataFrame([("d", "t2", 1), ("d", "t1", 1), ("e", "x", 9)], "database string, term string, rank int")
+    assert {tuple(r) for r in stats.top_terms(top).collect()} == {("d", 2, "t1"), ("e", 1, "x")}
+    assert at_most(df, 4, "x") is df
+    with pytest.raises(EngineError):
+        at_most(df, 3, "x")
