@@ -14,6 +14,7 @@ table gives an empty result; columns beyond id and text are ignored. Sequence nu
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -46,9 +47,21 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+#: The normaliser and the pre-tokens of tokenizer files for which PLAIN and PRE_TOKEN are right.
+KNOWN = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class TokenCache(dict):
     """Pre-token to its ids as little-endian uint32 bytes; ids() gives those of a whole text.
 
+    Files with another normaliser or other pre-tokens than KNOWN go through the whole tokenizer.
+
     Plain texts are cut by PRE_TOKEN and only new pre-tokens go to the vocabulary's merges. Other texts are cut at
     ASCII white space, which no pre-token crosses, and words that aren't plain go through the whole tokenizer.
     """
@@ -59,6 +72,9 @@ class TokenCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        parts = {"normalizer": (spec.get("normalizer") or {}).get("normalizers"), "pre_tokenizer": (spec.get("pre_tokenizer") or {}).get("pretokenizers")}
+        self.known = parts == KNOWN
         self.names = _byte_names()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -70,7 +86,7 @@ class TokenCache(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
-        if not any(s in text for s in self.special):
+        if self.known and not any(s in text for s in self.special):
             if PLAIN.fullmatch(text):
                 return b"".join(map(self.__getitem__, PRE_TOKEN.findall(text.lower())))
             if not text.isascii():

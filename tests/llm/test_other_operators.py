@@ -23,6 +23,10 @@ def test_ids_equal_the_tokenizers(tokenizer):
     for _ in range(3000):
         t = "".join(r.choice(letters) for _ in range(r.randint(0, 25)))
         assert np.frombuffer(cache.ids(t), "<u4").tolist() == cache.tokenizer.encode(t, add_special_tokens=False).ids, t
+    other = packing.TokenCache(tokenizer.replace("word_bpe_49k", "byte_bpe_50k"))
+    assert cache.known and not other.known
+    for t in ("Hello  World's 12 é", "a\n b", ""):
+        assert np.frombuffer(other.ids(t), "<u4").tolist() == other.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_plan_uses_up_every_length():
