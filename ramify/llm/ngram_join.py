@@ -188,7 +188,8 @@ def _verify(width: int, percent: int, heavy):
 def _families(scratch: Scratch, edges: DataFrame, keys: DataFrame, tag: str, kind: int = 0) -> tuple[DataFrame, DataFrame]:
     """Components of candidate edges as units (id, unit, size), but for those that cost more rows than their keys do.
 
-    keys: (key, cost, id), the other way to deal a component, with an id in it. Returns the units, and the keys that stay.
+    keys: (key, cost, id), the other way to deal a component, with an id in it, a key once. Returns the units, and the
+    keys that stay, with their cost.
     """
     roots = scratch.write(components(scratch, edges, tag), f"{tag}-roots")
     members = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
@@ -198,7 +199,7 @@ def _families(scratch: Scratch, edges: DataFrame, keys: DataFrame, tag: str, kin
     choice = scratch.write(choice, f"{tag}-choice")
     units = members.join(choice.where("whole"), "root").select("id", F.struct(F.lit(kind).alias("kind"), F.col("root").alias("key")).alias("unit"), "size")
     apart = members.join(choice.where("NOT whole"), "root").select("id")
-    return units, keys.join(apart, "id").select("key")
+    return units, keys.join(apart, "id").select("key", "cost")
 
 
 def link_components(
@@ -252,7 +253,8 @@ def link_components(
     blocks = F.ceil(F.col("size") / BLOCK)
     families, fallback = _families(scratch, pairs, pairs.groupBy("b").agg((F.count("*") + 1).alias("cost")).select(F.col("b").alias("key"), "cost", F.col("b").alias("id")), "short")
     stars_of = pairs.select(F.col("a").alias("id"), F.col("b").alias("key")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("key")).distinct())
-    units = [families, stars_of.join(fallback, "key", "left_semi").select("id", F.struct(F.lit(1).alias("kind"), "key").alias("unit")).withColumn("size", F.lit(None).cast("long"))]
+    # a star's cost is its number of documents
+    units = [families, stars_of.join(fallback, "key").select("id", F.struct(F.lit(1).alias("kind"), "key").alias("unit"), F.col("cost").alias("size"))]
 
     # long lists: the families that they form, or the lists themselves, whichever means fewer rows
     long = entries.where(F.col("df") > SHORT_LIST)
@@ -263,8 +265,6 @@ def link_components(
 
     # blocks of at most BLOCK documents or so; each two blocks of a unit meet in one task
     units = units[0].unionByName(units[1]).unionByName(units[2]).unionByName(units[3])
-    stars_size = units.where("size IS NULL").groupBy("unit").agg(F.count("*").alias("n_star"))
-    units = units.join(stars_size, "unit", "left").withColumn("size", F.coalesce("size", "n_star"))
     units = units.join(levels, "id", "left").select("id", F.coalesce("l", F.lit(1)).alias("level"), "unit", blocks.cast("int").alias("blocks"))
     units = units.withColumn("block", F.expr("cast(pmod(xxhash64(id, 7), blocks) AS int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
