@@ -62,9 +62,9 @@ def first_author(authors: Column) -> Column:
 
 
 def extract_year(text: Column) -> Column:
-    """The first year of 1900 to 2099, bare or in brackets."""
-    found = F.regexp_extract_all(text, F.lit(r"\(([0-9]{4})\)|\b(?:19|20)[0-9]{2}\b"), F.lit(0))
-    years = F.transform(found, lambda x: F.regexp_replace(x, "[()]", "").cast("int"))
+    """The first year of 1900 to 2099, bare or in brackets. Numbers within an http(s) address are no years: it is passed over whole."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i:\bhttps?://[^\s()<>\"]+)|\(([0-9]{4})\)|\b(?:19|20)[0-9]{2}\b"), F.lit(0))
+    years = F.transform(found, lambda x: F.regexp_replace(x, "[()]", "").try_cast("int"))
     return F.get(F.filter(years, lambda y: y.between(1900, 2099)), F.lit(0))
 
 

@@ -272,7 +272,7 @@ def normalize_text(spark, d):
 
 
 def extract_year(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("n (1850), "), F.col("url"), F.lit(" in "), (1890 + F.col("page_id") % 230).cast("string"), F.lit(" and (2001)")).alias("t"))
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("n (1850), "), F.coalesce("url", F.lit("")), F.lit(" in "), (1890 + F.col("page_id") % 230).cast("string"), F.lit(" and (2001)")).alias("t"))
     return p.select("page_id", X.extract_year(F.col("t")).alias("year"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ramify.core import assert_schema, at_most, dedupe_first, EngineError, total_rank, with_ordinal
+from ramify.functions import text
 from ramify.operators import channels, enrichment, hierarchy, joins, setops, stats
 
 EDGES = [("b", "a"), ("c", "b"), ("d", "b"), ("d", "c"), ("e", "d")]
@@ -211,3 +212,9 @@ def test_small_summaries_and_bounds(spark):
     assert at_most(df, 4, "x") is df
     with pytest.raises(EngineError):
         at_most(df, 3, "x")
+
+
+def test_years_in_addresses_are_passed_over(spark):
+    rows = [("see http://a.example.com/en/1950?page=2 in 1960", 1960), ("(https://a.example.com/2010/)(2001)", 2001), ("HTTPS://a.example.com/1999", None), ("n (1850), 2120 and (2003)", 2003), ("", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want int")
+    assert all(r["year"] == r["want"] for r in df.withColumn("year", text.extract_year(F.col("t"))).collect())
