@@ -76,15 +76,21 @@ def candidate_match(stated: DataFrame, found: DataFrame, *, block: str, key: str
 
 
 def rect_overlap_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], box: Sequence[str] = ("x0", "y0", "x1", "y1"), grow: float = 0.0, tile: float = 100.0) -> DataFrame:
-    """Pairs of boxes (same `by`) of which left's, grown on all sides, meets right's. Tiles make it an equi-join; right's columns get right_."""
+    """Pairs of boxes (same `by`) of which left's, grown on all sides, meets right's. Tiles make it an equi-join; right's columns get right_.
+
+    A pair that shares many tiles is taken in one of them: that where the later of its two boxes begins. So equal rows
+    are dropped on each side and the pairs, of which there may be far more, are not sorted. Sides are dealt by tile
+    whatever their size, as a small table can have many pairs.
+    """
     x0, y0, x1, y1 = box
 
     def tiles(df: DataFrame, p: str, g: float) -> DataFrame:
-        xs = F.sequence(F.floor((F.col(p + x0) - g) / tile), F.floor((F.col(p + x1) + g) / tile))
-        ys = F.sequence(F.floor((F.col(p + y0) - g) / tile), F.floor((F.col(p + y1) + g) / tile))
-        return df.withColumn("_tx", F.explode(xs)).withColumn("_ty", F.explode(ys))
+        df = df.distinct().withColumns({f"_{p}{n}": F.floor((F.col(p + c) + d) / tile) for n, c, d in (("ax", x0, -g), ("bx", x1, g), ("ay", y0, -g), ("by", y1, g))})
+        df = df.withColumn("_tx", F.explode(F.sequence(f"_{p}ax", f"_{p}bx"))).withColumn("_ty", F.explode(F.sequence(f"_{p}ay", f"_{p}by")))
+        return df.drop(f"_{p}bx", f"_{p}by")
 
     r = right.select(*(F.col(c) if c in by else F.col(c).alias(f"right_{c}") for c in right.columns))
-    joined = tiles(left, "", grow).join(tiles(r, "right_", 0.0), [*by, "_tx", "_ty"])
+    first = (F.col("_tx") == F.greatest("_ax", "_right_ax")) & (F.col("_ty") == F.greatest("_ay", "_right_ay"))
     meet = (F.col(x0) - grow <= F.col(f"right_{x1}")) & (F.col(x1) + grow >= F.col(f"right_{x0}")) & (F.col(y0) - grow <= F.col(f"right_{y1}")) & (F.col(y1) + grow >= F.col(f"right_{y0}"))
-    return joined.where(meet).drop("_tx", "_ty").distinct()
+    joined = tiles(left, "", grow).join(tiles(r, "right_", 0.0).hint("shuffle_hash"), [*by, "_tx", "_ty"])
+    return joined.where(first & meet).drop("_tx", "_ty", "_ax", "_ay", "_right_ax", "_right_ay")

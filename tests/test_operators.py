@@ -218,3 +218,16 @@ def test_years_in_addresses_are_passed_over(spark):
     rows = [("see http://a.example.com/en/1950?page=2 in 1960", 1960), ("(https://a.example.com/2010/)(2001)", 2001), ("HTTPS://a.example.com/1999", None), ("n (1850), 2120 and (2003)", 2003), ("", None), (None, None)]
     df = spark.createDataFrame(rows, "t string, want int")
     assert all(r["year"] == r["want"] for r in df.withColumn("year", text.extract_year(F.col("t"))).collect())
+
+
+def test_rectangles_equal_brute_force(spark):
+    """Boxes over many tiles, on their edges and turned round, and equal rows; pairs are not made distinct, and a small table is dealt too."""
+    boxes = [(f"b{i % 2}", i, (i * 37 % 50) / 2, (i * 53 % 41) / 2, (i * 37 % 50) / 2 + i * 7 % 13 - 1, (i * 53 % 41) / 2 + i * 5 % 11 - 1) for i in range(120)]
+    box = "x0 double, y0 double, x1 double, y1 double"
+    left, right = spark.createDataFrame([*boxes[:60], *boxes[:9]], f"g string, a int, {box}"), spark.createDataFrame([*boxes[60:], *boxes[60:70]], f"g string, b int, {box}")
+    out = joins.rect_overlap_join(left, right, by=["g"], grow=1.0, tile=2.0)
+    want = sorted((a[1], b[1]) for a in boxes[:60] for b in boxes[60:] if a[0] == b[0] and a[2] - 1 <= b[4] and a[4] + 1 >= b[2] and a[3] - 1 <= b[5] and a[5] + 1 >= b[3])
+    assert want and sorted((r["a"], r["right_b"]) for r in out.collect()) == want
+    assert out.columns == ["g", "a", "x0", "y0", "x1", "y1", "right_b", "right_x0", "right_y0", "right_x1", "right_y1"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") and "Broadcast" not in plan
