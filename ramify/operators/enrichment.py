@@ -161,21 +161,43 @@ def average_precision(ranks: DataFrame, sets: DataFrame, *, member: str = "membe
 def _null_draws(n: int, size: int, seed: int, chunk: int, draws: int) -> np.ndarray:
     """Average precision of `draws` random sets of a size among n ranks.
 
-    Sets are drawn by Floyd's method, a step for all sets of a slice at a time: the k-th pick is of the first
-    n - size + k ranks, or the last of them if it was picked before. Marks give the ranks in order.
+    Each rank is marked with one chance, a little above size / n, by geometric gaps over many sets of ranks in a row. By
+    their number alone, sets with fewer marks are drawn again and of others random marks are taken away, so that all
+    sets of the size are equally likely. The work is in proportion to the members of the sets.
     """
     rng = np.random.default_rng((seed, size, chunk))
-    step = max(1, 8_000_000 // max(n, 1))
-    out = []
-    for at in range(0, draws, step):
-        m = min(step, draws - at)
-        marks, row = np.zeros((m, n), bool), np.arange(m)
-        for last in range(n - size, n):
-            pick = rng.integers(0, last + 1, m)
-            pick[marks[row, pick]] = last
-            marks[row, pick] = True
-        out.append((np.arange(1, size + 1) / (np.nonzero(marks)[1].reshape(m, size) + 1)).mean(1))
-    return np.concatenate(out)
+    chance = min(1.0, (size + 2 * np.sqrt(size)) / n)
+    scale = -1 / np.log1p(-chance) if chance < 1 else 0.0
+    nth, out, left = np.arange(1, size + 1), [], draws
+    while left:
+        m = min(left + left // 8 + 1, max(1, 200_000 // size))
+        # marks from 1 to m n; gaps are drawn until they reach that far
+        marks, reached = [], 0
+        while reached < m * n:
+            more = int((m * n - reached) * chance * 1.01) + 100
+            gaps = (rng.standard_exponential(more) * scale).astype(np.int64)
+            gaps += 1
+            gaps[0] += reached
+            marks.append(np.cumsum(gaps, out=gaps))
+            reached = int(gaps[-1])
+        at = np.concatenate(marks)
+        ends = np.searchsorted(at, np.arange(1, m + 1) * n, "right")
+        starts = np.concatenate(([0], ends[:-1]))
+        found = ends - starts
+        good = np.flatnonzero(found >= size)[:left]
+        wanted = np.zeros(m, bool)
+        wanted[good] = True
+        keep = np.repeat(wanted, found)
+        todo = found[good] - size
+        while (short := np.repeat(np.arange(len(good)), todo)).size:
+            pick = np.unique(starts[good][short] + rng.integers(0, found[good][short]))
+            pick = pick[keep[pick]]
+            keep[pick] = False
+            todo -= np.bincount(np.searchsorted(starts[good], pick, "right") - 1, minlength=len(good))
+        ranks = at[: len(keep)][keep].reshape(-1, size) - good[:, None] * n
+        out.append((nth / ranks).mean(1))
+        left -= len(good)
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def permutation_null(sizes: DataFrame, n_ranked: int, *, permutations: int = 10_000, seed: int = 0, chunk: int = 250, size_col: str = "size") -> DataFrame:
@@ -183,7 +205,9 @@ def permutation_null(sizes: DataFrame, n_ranked: int, *, permutations: int = 10_
     draws has a seed of its own, so chunks run on different executors and repeat exactly."""
     chunks = -(-permutations // chunk)
     jobs = sizes.select(F.col(size_col).cast("int").alias("size")).where(f"size > 0 AND size <= {n_ranked}").distinct()
-    jobs = jobs.select("size", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition("size", "chunk")
+    # a stated number of tasks: rows this narrow would else be gathered in one
+    tasks = max(4 * sizes.sparkSession.sparkContext.defaultParallelism, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    jobs = jobs.select("size", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(tasks, "size", "chunk")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,6 +1,7 @@
 """Operators against cases computed by hand, and their invariants."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,14 @@ def test_rectangles_equal_brute_force(spark):
     assert out.columns == ["g", "a", "x0", "y0", "x1", "y1", "right_b", "right_x0", "right_y0", "right_x1", "right_y1"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate") and "Broadcast" not in plan
+
+
+def test_null_draws_of_large_sets_and_their_tasks(spark):
+    """48,000 of 1.2 million ranks take no step for each member; chunks are dealt over tasks, however narrow their rows."""
+    began = time.process_time()
+    draws = enrichment._null_draws(1_200_000, 48_000, 0, 0, 40)
+    assert len(draws) == 40 and time.process_time() - began < 3 and draws.mean() == pytest.approx(0.04, abs=0.001) and len(set(draws)) == 40
+    one = enrichment._null_draws(1000, 1, 0, 0, 50_000)
+    assert one.mean() == pytest.approx(sum(1 / i for i in range(1, 1001)) / 1000, abs=0.001)
+    null = enrichment.permutation_null(spark.createDataFrame([(3,), (5,)], "size int"), 50, permutations=800, chunk=10)
+    assert null.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 4
