@@ -500,6 +500,19 @@ def test_topics_tell_vocabularies_apart(spark):
     assert len(rows) == 404 and {x["_topic"] for x in rows} == {0, 1} and {x["_s"] for x in rows} == {1} and sum(x["_tokens"] for x in rows) == 402 * 60
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    """A few texts of a vocabulary of their own, none of them among the least hashes, and however the rows are dealt."""
+    r = random.Random(12)
+    most, few = ([f"{c}{w}" for w in words(r, 40)] for c in "kz")
+    texts = [" ".join(r.choice(most) + "abcd" for _ in range(25)) for _ in range(4500)]
+    apart = make(spark, [" ".join(r.choice(few) + "abcd" for _ in range(25)) for _ in range(90)]).where(F.xxhash64("text", F.lit(3)) > 0)
+    docs = make(spark, texts).unionByName(apart.withColumn("doc_id", F.col("doc_id") + 10_000))
+    topics = source_mix.with_topic(docs, n_topics=2).groupBy((F.col("doc_id") < 10_000).alias("most")).agg(F.collect_set("_topic").alias("topics")).collect()
+    assert len(topics) == 2 and all(len(x["topics"]) == 1 for x in topics) and topics[0]["topics"] != topics[1]["topics"]
+    one, two = (source_mix.fit_topics(docs.repartition(n), "text", 3, rounds=4) for n in (2, 7))
+    assert (one == two).all()
+
+
 def test_cells_are_pooled_beyond_their_bound(spark):
     r = random.Random(1)
     rows = [(i, " ".join(words(r, 20)), f"l{i % 7}", f"s{r.randrange(300)}" if i % 3 else "hot", 0) for i in range(900)]
