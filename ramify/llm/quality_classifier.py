@@ -27,6 +27,8 @@ from .common import Scratch, bounded_arrow, shingles_of, text_slices, texts_of,
 BITS = 18
 SIZE = 1 << BITS
 BINS = 16
+#: Bytes of texts whose features are found at once: a few dozen times as many are held for them.
+AT_ONCE = 1 << 18
 
 
 def features(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,12 +36,11 @@ def features(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     keys = []
     lengths = np.diff(offsets)
     if len(data) >= 3:
-        b = data.astype(np.int64)
-        gram = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-        start = np.arange(len(gram))
-        doc = np.repeat(np.arange(n), lengths)[: len(gram)]
-        inside = start + 3 <= offsets[doc + 1]
-        keys.append((doc[inside] << BITS) | ((gram[inside] * 0x9E3779B1) >> 7) & (SIZE - 1))
+        b = data.astype(np.uint32)
+        gram = (((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(7)) & np.uint32(SIZE - 1)
+        doc = np.repeat(np.arange(n), lengths)
+        inside = doc[:-2] == doc[2:]  # a trigram ends in the text it begins in
+        keys.append((doc[:-2][inside] << BITS) | gram[inside])
     hashes, owner, _, _ = words_of(data, offsets, lower=False)
     owner = owner.astype(np.int64)
     keys.append((owner << BITS) | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
@@ -67,7 +68,7 @@ def _learn(share: float):
         counts = np.zeros((2, SIZE), np.int64)
         seen = False
         for batch in batches:
-            for part, data, offsets in text_slices(batch):
+            for part, data, offsets in text_slices(batch, most=AT_ONCE):
                 seen = True
                 y, h = part.column(2).to_numpy(), part.column(3).to_numpy()
                 doc, feature = features(data, offsets, part.num_rows)
@@ -180,7 +181,7 @@ def _score(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = model["curve"]
         for batch in batches:
-            for part, data, offsets in text_slices(batch):
+            for part, data, offsets in text_slices(batch, most=AT_ONCE):
                 doc, feature = features(data, offsets, part.num_rows)
                 z = a * margins(model, doc, feature, part.num_rows) + b
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["id", "score"])

@@ -4,8 +4,10 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,6 +435,18 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.classify(docs.limit(0), labels).count() == 0
 
 
+def test_features_hold_little_beside_a_batch_of_texts():
+    r = random.Random(12)
+    batch = pa.record_batch({"id": list(range(3000)), "text": [" ".join(words(r, 200)) for _ in range(3000)]})
+    n = quality_classifier.SIZE
+    model = {"weights": np.ones(n, np.float32), "scale": np.ones(n, np.float32), "curve": (1.0, 0.0)}
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in quality_classifier._score(model)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and peak < 40 << 20
+
+
 def test_dual_coordinate_descent_meets_its_conditions():
     import numpy as np
 
