@@ -53,6 +53,8 @@ PART_ROWS, HELD = 500_000, 2_000_000
 PAIRS, SLICE = 1_000_000, 20_000
 #: Rows of blocks that are compared at once, and the bytes of a line beyond which pairs are compared one by one.
 AT_ONCE, LONG = 1 << 16, 8192
+#: Columns of a long pair between which its rows move.
+COLUMNS = 128
 PAD = np.full(GRAM - 1, 32, np.uint8)
 MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 32, 512, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -389,30 +391,38 @@ def edit_distance(a: bytes, b: bytes, most: int) -> int:
     if abs(len(a) - len(b)) > most:
         return most + 1
     a, b = _trimmed(a, b)
-    n = len(a)
+    n, delta = len(a), len(b) - len(a)
     if not n:
         return len(b)
-    mask, top = (1 << n) - 1, 1 << (n - 1)
     where: dict[int, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    pv, mv, score = mask, 0, n
-    for j, c in enumerate(b):
-        eq = where.get(c, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (~(xh | pv) & mask)
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        if score - (len(b) - 1 - j) > most:
+    for c in set(a):
+        where[c] = int.from_bytes(np.packbits(np.frombuffer(a, np.uint8) == c, bitorder="little").tobytes(), "little")
+    # some columns at a time, with the rows through which a path of at most `most` edits can lead there
+    above, below = (most + delta) // 2, (most - delta) // 2
+    lo = hi = pv = mv = score = 0
+    for at in range(0, len(b), COLUMNS):
+        some = b[at : at + COLUMNS]
+        shift, more = max(0, at - above) - lo, min(n, at + len(some) + below) - hi
+        pv, mv, score = (pv | ((1 << more) - 1) << (hi - lo)) >> shift, mv >> shift, score + more
+        lo, hi = lo + shift, hi + more
+        mask, top = (1 << (hi - lo)) - 1, 1 << (hi - lo - 1)
+        here = {c: where.get(c, 0) >> lo & mask for c in set(some)}
+        for c in some:
+            eq = here[c]
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | (~(xh | pv) & mask)
+            mh = pv & xh
+            if ph & top:
+                score += 1
+            elif mh & top:
+                score -= 1
+            ph = ((ph << 1) | 1) & mask
+            mh = (mh << 1) & mask
+            pv = mh | (~(xv | ph) & mask)
+            mv = ph & xv
+        if hi == n and score - (len(b) - at - len(some)) > most:
             return most + 1
-        ph = ((ph << 1) | 1) & mask
-        mh = (mh << 1) & mask
-        pv = mh | (~(xv | ph) & mask)
-        mv = ph & xv
     return score
 
 
@@ -431,13 +441,16 @@ def _trimmed(a: bytes, b: bytes) -> tuple[bytes, bytes]:
     return (a, b) if len(a) <= len(b) else (b, a)
 
 
-def distances(ones: list[bytes], twos: list[bytes], n_words: int, most: int) -> np.ndarray:
+def distances(ones: list[bytes], twos: list[bytes], n_words: int, most: int | np.ndarray) -> np.ndarray:
     """Levenshtein distances of pairs, all at once: bit-parallel columns in words of 64 rows. ones: 1 to 64 * n_words bytes.
 
-    Only words within `most` rows of the diagonal are computed: distances up to `most` are exact, others are over it.
+    Distances up to `most` are exact, others are over it: only words of rows are computed through which a path of so many
+    edits can lead. It leaves the diagonal by half of the edits that the difference of lengths doesn't take.
     """
     n, n_rows = len(ones), np.array([len(x) for x in ones])
     columns = np.array([len(x) for x in twos])
+    longer = columns - n_rows
+    above, below = (int(np.maximum((most + x) // 2, x).max(initial=0)) for x in (longer, -longer))
     a, b = np.zeros((64 * n_words, n), np.intp), np.zeros((columns.max(initial=0), n), np.intp)
     for k, (x, y) in enumerate(zip(ones, twos, strict=True)):
         a[: len(x), k] = np.frombuffer(x, np.uint8)
@@ -459,15 +472,15 @@ def distances(ones: list[bytes], twos: list[bytes], n_words: int, most: int) ->
     past = ~((one << last << one) - one)  # rows of the last word that aren't the line's
     ends = np.argsort(columns, kind="stable")
     upto = np.searchsorted(columns[ends], np.arange(len(b) + 2))
-    out, bottom = np.zeros(n, np.int64), min(n_words - 1, (most + 1) >> 6)
+    out, bottom = np.zeros(n, np.int64), min(n_words - 1, (below + 1) >> 6)
     eq, xv, xh, ph, mh = (np.empty(n, np.uint64) for _ in range(5))
     carries = [(np.empty(n, np.uint64), np.empty(n, np.uint64)) for _ in range(2)]
     for j in range(len(b)):
-        enters = min(n_words - 1, (j + most + 1) >> 6)
+        enters = min(n_words - 1, (j + below + 1) >> 6)
         if enters > bottom:
             score[enters], bottom = score[enters - 1] + 64, enters
         plus, minus = first, zero
-        for w in range(max(0, (j - most - 1) >> 6), bottom + 1):
+        for w in range(max(0, (j - above - 1) >> 6), bottom + 1):
             pv, mv, (out_plus, out_minus) = up[w], down[w], carries[w & 1]
             np.take(where[w], b[j], out=eq, mode="clip")
             np.bitwise_or(eq, mv, out=xv)
@@ -526,7 +539,7 @@ def within_many(ones: list[bytes], twos: list[bytes], most: np.ndarray) -> np.nd
         which = np.array([t[2] for t in some])
         size, band = some[-1][0], int(most[which].max())
         if len(some) > 10 * min(size, band // 32 + 2):
-            out[which] = distances([t[3] for t in some], [t[4] for t in some], size, band) <= most[which]
+            out[which] = distances([t[3] for t in some], [t[4] for t in some], size, most[which]) <= most[which]
         else:
             out[which] = [edit_distance(x, y, m) <= m for (_, _, _, x, y), m in zip(some, most[which].tolist(), strict=True)]
     return out

@@ -383,6 +383,19 @@ def test_line_recall_against_edit_similarity_alone(spark):
     assert not any(out[2 * i] for i in range(len(pairs)))
 
 
+def test_a_long_pair_by_parts_equals_plain_distance(monkeypatch):
+    r = random.Random(18)
+    for columns in (1, 3, 64):
+        monkeypatch.setattr(line_dedup, "COLUMNS", columns)
+        for _ in range(60):
+            a = "".join(r.choice("abcd ") for _ in range(r.randint(1, 90)))
+            b = typed(r, a, min(3, len(a.replace(" ", ""))))[r.randint(0, 4) :] + "ab" * r.randint(0, 3)
+            true = plain_distance(a, b)
+            for most in (0, max(true - 1, 0), true, true + 1, 100):
+                got = line_dedup.edit_distance(a.encode(), b.encode(), most)
+                assert got == true if true <= most else got > most
+
+
 def test_short_lines_enter_the_fuzzy_join(spark):
     r = random.Random(14)
     lines = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(7)) for _ in range(40)]
