@@ -12,8 +12,8 @@ The first occurrence of each connected group stays, by document id, then line nu
 
 Block tuples stand in for the runs of SimHash bits: two lines that share a part J of their pieces have one in common
 with about 1 - (1 - J^width)^tables, while SimHash bits differ so often at an edit similarity of 0.85 that runs long
-enough to be selective are rarely equal. width grows with the logarithm of the input, so that blocks do not fill with
-unrelated lines, and tables with it, so that recall stays the same. The search is not exact: tests/llm measures its
+enough to be selective are rarely equal. width grows with the logarithm of the lines that are meant, so that blocks do not fill with
+unrelated lines, and tables with it, so that recall stays the same: both follow from `n_lines`, a parameter. The search is not exact: tests/llm measures its
 recall against edit similarity alone, by length and kind of change.
 
 Defined results: null and empty texts have no lines to judge; lines of fewer than `min_words` words stay; a document
@@ -43,8 +43,8 @@ GRAM, SKETCHED, LEAST_SAME = 6, 24, 11
 SIMILAR, RECALL = 0.6, 0.94
 #: Distinct lines up to which three min-hashes make a block; each SPREAD times as many take one more.
 NARROW, SPREAD = 1 << 22, 32
-#: Distinct lines that a document stands for, where their number is estimated.
-DOC_LINES = 8
+#: Distinct lines that blocks are made for, whatever the input: which lines meet doesn't depend on how many others there are.
+MANY = NARROW * SPREAD
 #: Lines of a unit of a block or cluster.
 UNIT = 256
 #: Rows of blocks for a task, and those it holds before it looks for large blocks.
@@ -720,12 +720,12 @@ def _deal_rest(rows: DataFrame, unit: str) -> DataFrame:
     return every.unionByName(rest).drop("_size", "_rest", "_parts", "_few", "linked")
 
 
-def find_groups(docs: DataFrame, scratch: Scratch, *, min_words: int = 4, min_fuzzy: int = 4, percent: int = 85) -> DataFrame:
+def find_groups(docs: DataFrame, scratch: Scratch, *, min_words: int = 4, min_fuzzy: int = 4, percent: int = 85, n_lines: int = MANY) -> DataFrame:
     """keepers: id, line of the occurrence that stays of each connected group of judged lines. docs: id, text."""
     spark = docs.sparkSession
     bounded_arrow(spark)
     docs = docs.where("id IS NOT NULL")
-    width, tables, count = settings(DOC_LINES * docs.count())
+    width, tables, count = settings(n_lines)
     found = docs.mapInArrow(_scan(min_words, min_fuzzy, count), "id long, line int, key long, fuzzy boolean, hashes binary, length int")
     first = F.min(F.struct("id", "line")).alias("first")
     distinct = scratch.write(found.groupBy("key").agg(first, F.first("fuzzy").alias("fuzzy"), F.first("hashes").alias("hashes"), F.first("length").alias("length")), "distinct")
@@ -760,10 +760,10 @@ def find_groups(docs: DataFrame, scratch: Scratch, *, min_words: int = 4, min_fu
     apart = scratch.write(apart, "apart")
     units = held.join(apart, "root", "left_anti").select("key", F.col("root").alias("unit"), "size").unionByName(by_block.join(apart, "root", "left_semi").select("key", "unit", "size"))
     units = scratch.write(units, "units")
-    n_lines, n_rows = held.count(), units.agg(F.sum(dealt)).first()[0] or 0
+    n_held, n_rows = held.count(), units.agg(F.sum(dealt)).first()[0] or 0
 
     # their lines, each from its first occurrence
-    texts = lines_at(docs, held, n_lines).dropDuplicates(["id", "line"])
+    texts = lines_at(docs, held, n_held).dropDuplicates(["id", "line"])
     lines = scratch.write(held.join(texts, ["id", "line"]).mapInArrow(_with_sketch(count), "key long, s1 long, s2 long, text binary"), "texts")
     small = units.where(F.col("size") <= UNIT).drop("size").join(lines, "key").withColumns({"bi": F.lit(0), "bj": F.lit(0), "side": F.lit(-1)})
     # a large unit meets its first line, and then what isn't linked with that meets all of it
@@ -829,12 +829,15 @@ def _apply(text_at: int, names: list[str], min_words: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, min_fuzzy: int = 4, percent: int = 85) -> DataFrame:
-    """docs with the lines of all but one occurrence per group removed from text, and _judged, _removed (long): numbers of lines."""
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, min_fuzzy: int = 4, percent: int = 85, n_lines: int = MANY) -> DataFrame:
+    """docs with the lines of all but one occurrence per group removed from text, and _judged, _removed (long): numbers of lines.
+
+    n_lines: about how many distinct lines blocks are made for. More are compared as well, in fuller blocks.
+    """
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("_judged", "_removed").withColumn(text_col, F.col(text_col).cast("string"))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keepers = find_groups(narrow, scratch, min_words=min_words, min_fuzzy=min_fuzzy, percent=percent)
+    keepers = find_groups(narrow, scratch, min_words=min_words, min_fuzzy=min_fuzzy, percent=percent, n_lines=n_lines)
     names = docs.columns
     key, lines, has = fresh(docs, "key"), fresh(docs, "lines"), fresh(docs, "has")
     kept = keepers.groupBy(F.col("id").alias(key)).agg(F.collect_list("line").alias(lines))

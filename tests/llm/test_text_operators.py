@@ -383,6 +383,23 @@ def test_line_recall_against_edit_similarity_alone(spark):
     assert not any(out[2 * i] for i in range(len(pairs)))
 
 
+def test_line_groups_do_not_depend_on_how_many_rows_there_are(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "DOC_LINES", 1 << 20, raising=False)  # few rows stood for so many lines that blocks changed
+    r = random.Random(17)
+    ones = [words(r, 20) for _ in range(150)]
+    twos = []
+    for w in ones:
+        w = list(w)
+        for i in r.sample(range(20), 3):
+            w[i] = "".join(r.choice("klmnopqrst") for _ in w[i])
+        twos.append(w)
+    pair = ["\n".join(" ".join(w) for w in x) for x in (ones, twos)]
+    few = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(make(spark, pair)).collect()}
+    more = make(spark, ["".join(r.choice("uvwxyz ") for _ in range(60)) for _ in range(600)], 2)
+    many = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(make(spark, pair).unionByName(more)).collect()}
+    assert len(few[1]) < len(pair[1]) / 2 and (few[0], few[1]) == (many[0], many[1])
+
+
 def test_a_long_pair_by_parts_equals_plain_distance(monkeypatch):
     r = random.Random(18)
     for columns in (1, 3, 64):
