@@ -557,6 +557,24 @@ def test_topics_are_fitted_on_all_texts(spark):
     assert (one == two).all()
 
 
+def test_topics_hold_little_beside_a_batch_of_texts(monkeypatch):
+    r = random.Random(13)
+    batch = pa.record_batch({"text": [" ".join(words(r, 200)) for _ in range(3000)], "h": list(range(3000))})
+    weights = np.random.default_rng(1).random((8, 1 << source_mix.TOPIC_BITS))
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in source_mix._topic(weights, 0)(iter([batch])))
+    bags = list(source_mix._bags(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == sum(x.num_rows for x in bags) == 3000 and peak < 24 << 20
+    found = []
+    for most in (1 << 40, 1 << 12, 1):
+        monkeypatch.setattr(source_mix, "WORDS", most)
+        parts = [(h, *source_mix._weighed(*x, weights[0], weights)) for h, *x in source_mix._unpacked(source_mix._packed(iter(bags)))]
+        found.append([np.concatenate(x) for x in zip(*parts, strict=True)])
+    assert all((x == y).all() for other in found[1:] for x, y in zip(found[0], other, strict=True))
+
+
 def test_cells_are_pooled_beyond_their_bound(spark):
     r = random.Random(1)
     rows = [(i, " ".join(words(r, 20)), f"l{i % 7}", f"s{r.randrange(300)}" if i % 3 else "hot", 0) for i in range(900)]
