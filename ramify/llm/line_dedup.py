@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, Scratch, _BYTE, _powers, bounded_arrow, components, fresh, local_roots, mix, text_slices
+from .common import IS_SPACE, Scratch, _BYTE, _powers, bounded_arrow, components, fresh, local_roots, mix, text_slices, tidy
 
 #: Bytes of a piece; places of a sketch, of five bits each, and how many of them agree at least.
 GRAM, SKETCHED, LEAST_SAME = 6, 24, 11
@@ -591,11 +591,11 @@ def lines_at(docs: DataFrame, places: DataFrame, n_places: int) -> DataFrame:
     A bit table of 16 bits a place (2 MB to 16 MB) drops the other lines where the texts are read.
     """
     bits = min(max(24, (16 * max(n_places, 1)).bit_length()), 27)
-    words = places.select("id", "line").mapInArrow(partial(_set_bits, bits=bits), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = places.select("id", "line").mapInArrow(tidy(partial(_set_bits, bits=bits)), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
     table = np.zeros(1 << (bits - 6), np.uint64)
     for batch in words.toArrow().to_batches():
         table[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    return docs.select("id", "text").mapInArrow(_lines_at(table), "id long, line int, text binary")
+    return docs.select("id", "text").mapInArrow(tidy(_lines_at(table)), "id long, line int, text binary")
 
 
 def normalise(line: str | bytes) -> bytes:
@@ -726,7 +726,7 @@ def find_groups(docs: DataFrame, scratch: Scratch, *, min_words: int = 4, min_fu
     bounded_arrow(spark)
     docs = docs.where("id IS NOT NULL")
     width, tables, count = settings(n_lines)
-    found = docs.mapInArrow(_scan(min_words, min_fuzzy, count), "id long, line int, key long, fuzzy boolean, hashes binary, length int")
+    found = docs.mapInArrow(tidy(_scan(min_words, min_fuzzy, count)), "id long, line int, key long, fuzzy boolean, hashes binary, length int")
     first = F.min(F.struct("id", "line")).alias("first")
     distinct = scratch.write(found.groupBy("key").agg(first, F.first("fuzzy").alias("fuzzy"), F.first("hashes").alias("hashes"), F.first("length").alias("length")), "distinct")
 
@@ -735,10 +735,10 @@ def find_groups(docs: DataFrame, scratch: Scratch, *, min_words: int = 4, min_fu
 
     def blocks(rows: DataFrame, n: int) -> DataFrame:
         tasks = min(max(-(-n * tables // PART_ROWS), 1), 100_000)
-        parts = rows.select("key", "hashes", "length").mapInArrow(_explode_blocks(chosen, count, 4 * tasks), "part int, data binary")
+        parts = rows.select("key", "hashes", "length").mapInArrow(tidy(_explode_blocks(chosen, count, 4 * tasks)), "part int, data binary")
         return parts.repartition(tasks, "part")
 
-    near = scratch.write(blocks(distinct.where("fuzzy"), distinct.count()).mapInArrow(_close_in_blocks, "a long, b long, c long, bucket long"), "near")
+    near = scratch.write(blocks(distinct.where("fuzzy"), distinct.count()).mapInArrow(tidy(_close_in_blocks), "a long, b long, c long, bucket long"), "near")
     large = near.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("key"), F.col("b").alias("s1"), F.col("c").alias("s2"))
     first = large.groupBy("bucket").agg(F.min(F.struct("key", "s1", "s2")).alias("first"))
     large = large.join(first, "bucket").select("bucket", "key", "s1", "s2", F.col("first.key").alias("first"), F.col("first.s1").alias("f1"), F.col("first.s2").alias("f2"))
@@ -751,7 +751,7 @@ def find_groups(docs: DataFrame, scratch: Scratch, *, min_words: int = 4, min_fu
     held = scratch.write(held.join(distinct.select("key", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "hashes", "length"), "key"), "members")
 
     # units: clusters, or the blocks of a large one
-    by_block = blocks(held.where(F.col("size") > UNIT), held.where(F.col("size") > UNIT).count()).mapInArrow(partial(_close_in_blocks, lines=True), "key long, s1 long, s2 long, unit long").select("key", "unit")
+    by_block = blocks(held.where(F.col("size") > UNIT), held.where(F.col("size") > UNIT).count()).mapInArrow(tidy(partial(_close_in_blocks, lines=True)), "key long, s1 long, s2 long, unit long").select("key", "unit")
     by_block = scratch.write(by_block.join(held.select("key", "root"), "key"), "by-block")
     by_block = by_block.join(by_block.groupBy("unit").agg(F.count("*").alias("size")), "unit")
     dealt = F.ceil(F.col("size") / UNIT)
@@ -764,19 +764,19 @@ def find_groups(docs: DataFrame, scratch: Scratch, *, min_words: int = 4, min_fu
 
     # their lines, each from its first occurrence
     texts = lines_at(docs, held, n_held).dropDuplicates(["id", "line"])
-    lines = scratch.write(held.join(texts, ["id", "line"]).mapInArrow(_with_sketch(count), "key long, s1 long, s2 long, text binary"), "texts")
+    lines = scratch.write(held.join(texts, ["id", "line"]).mapInArrow(tidy(_with_sketch(count)), "key long, s1 long, s2 long, text binary"), "texts")
     small = units.where(F.col("size") <= UNIT).drop("size").join(lines, "key").withColumns({"bi": F.lit(0), "bj": F.lit(0), "side": F.lit(-1)})
     # a large unit meets its first line, and then what isn't linked with that meets all of it
     big = units.where(F.col("size") > UNIT).drop("size")
     firsts = big.groupBy("unit").agg(F.min("key").alias("first"))
     firsts = firsts.join(lines, firsts["first"] == lines["key"]).select("unit", "first", F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("text").alias("first_text"))
     met = big.join(lines, "key").join(firsts, "unit").select("key", "unit", "s1", "s2", "text", "first", "f1", "f2", "first_text")
-    met = scratch.write(met.mapInArrow(_against_first(percent), "key long, unit long, first long, linked boolean"), "met")
+    met = scratch.write(met.mapInArrow(tidy(_against_first(percent)), "key long, unit long, first long, linked boolean"), "met")
     rest = _deal_rest(met.drop("first"), "unit").join(lines, "key")
     rows = small.unionByName(rest).select("unit", "bi", "bj", "side", "key", "s1", "s2", "text")
     # few bytes, but much to compute
     rows = rows.repartition(min(max(int(n_rows // 32_000), 1), 100_000), "unit", "bi", "bj").sortWithinPartitions("unit", "bi", "bj")
-    links = rows.mapInArrow(_verify(percent), "node long, root long")
+    links = rows.mapInArrow(tidy(_verify(percent)), "node long, root long")
     links = scratch.write(links.unionByName(met.where("linked AND key <> first").select(F.col("key").alias("node"), F.col("first").alias("root"))), "line-links")
 
     # the first occurrence of each group: only lines that are linked are grouped, all others keep their own
@@ -843,4 +843,4 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = keepers.groupBy(F.col("id").alias(key)).agg(F.collect_list("line").alias(lines))
     both = docs.join(kept, docs[id_col].cast("long") == kept[key], "left").select(*(docs[c] for c in names), lines, docs[id_col].isNotNull().alias(has))
     schema = T.StructType([*docs.schema.fields, T.StructField("_judged", T.LongType()), T.StructField("_removed", T.LongType())])
-    return both.mapInArrow(_apply(names.index(text_col), names, min_words), schema)
+    return both.mapInArrow(tidy(_apply(names.index(text_col), names, min_words)), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, bounded_arrow, by_bits, components, id_bits, local_roots, mix, shingles_of, text_slices, texts_of, words_of
+from .common import Scratch, bounded_arrow, by_bits, components, id_bits, local_roots, mix, shingles_of, text_slices, texts_of, tidy, words_of
 
 LEVELS = 4
 #: Counters of the sketch, summed in blocks of 2^BLOCK_BITS. The lowest quarter of the hashes, from which nearly all
@@ -87,7 +87,7 @@ def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def heavy_counters(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Counters far above the mean, and their class (eighths of a power of two). At most N_COUNTERS, however large the input."""
-    rows = docs.select("text").mapInArrow(_sketch(width), "block long, counts binary").repartition("block").mapInArrow(_heavy, "counter long, n long").toPandas()
+    rows = docs.select("text").mapInArrow(tidy(_sketch(width)), "block long, counts binary").repartition("block").mapInArrow(tidy(_heavy), "counter long, n long").toPandas()
     rows = rows.sort_values("counter")
     return rows["counter"].to_numpy(np.int64), (8 * np.log2(np.maximum(rows["n"].to_numpy(np.float64), 2))).astype(np.int16)
 
@@ -212,7 +212,7 @@ def link_components(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     heavy = heavy_counters(docs, width)
 
-    sig = scratch.write(docs.mapInArrow(_signatures(width, percent, heavy), "id long, n long, h1 long, h2 long, tokens array<long>"), "sig")
+    sig = scratch.write(docs.mapInArrow(tidy(_signatures(width, percent, heavy)), "id long, n long, h1 long, h2 long, tokens array<long>"), "sig")
     narrow = scratch.write(sig.select("id", "n", "h1", "h2"), "narrow")
     full = narrow.where("n > 0 AND id IS NOT NULL")
     sets = scratch.write(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "sets")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, bounded_arrow
+from .common import Scratch, bounded_arrow, tidy
 
 #: Pre-tokens that a worker's cache holds before it starts anew.
 CACHE_TOKENS = 300_000
@@ -72,8 +72,9 @@ class TokenCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        spec = json.loads(self.tokenizer.to_str())
-        parts = {"normalizer": (spec.get("normalizer") or {}).get("normalizers"), "pre_tokenizer": (spec.get("pre_tokenizer") or {}).get("pretokenizers")}
+        # each part by itself, as the whole file with its vocabulary takes much memory
+        normalizer, pre_tokenizer = (json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        parts = {"normalizer": normalizer.get("normalizers"), "pre_tokenizer": pre_tokenizer.get("pretokenizers")}
         self.known = parts == KNOWN
         self.names = _byte_names()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -133,7 +134,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_id: in
     """Pieces: id long, piece int, start, length, ids_crc32 long, and with_ids: ids binary (little-endian uint32)."""
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, seq_len, end_id, with_ids), "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(_pieces(tokenizer, seq_len, end_id, with_ids)), "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # ---------------------------------------------------------------- planning
@@ -251,7 +252,7 @@ def pack(pieces: DataFrame, *, seq_len: int = 2048, rows_per_salt: int = 200_000
     places = _places(plan(histogram, seq_len))
     numbered = rows.withColumn("row", F.row_number().over(W.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")).cast("long"))
     bounded_arrow(spark)
-    return numbered.mapInArrow(_assign(places, base), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(tidy(_assign(places, base)), "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, seq_len: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,8 +2,11 @@
 
 import collections
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -11,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ramify.llm import line_dedup, ngram_join, pii, quality_classifier, quality_rules, source_mix
+from ramify.llm import common, line_dedup, ngram_join, packing, pii, quality_classifier, quality_rules, queries, source_mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -400,6 +403,40 @@ def test_line_groups_do_not_depend_on_how_many_rows_there_are(spark, monkeypatch
     assert len(few[1]) < len(pair[1]) / 2 and (few[0], few[1]) == (many[0], many[1])
 
 
+def test_workers_hold_little_between_tasks(spark):
+    """Powers for a long text aren't kept, batches fit the pooled buffers, and what a task frees goes back to the system."""
+    powers, inverses = common._powers((1 << 21) + 1)
+    with np.errstate(over="ignore"):
+        assert (powers[1 << 21] * inverses[1 << 21], powers[1]) == (1, common._P)
+    assert len(common._POWERS) <= 1 << 20
+    common.bounded_arrow(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 2 << 20
+    tracemalloc.start()
+    packing.TokenCache(queries.tokenizer_path())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+
+    script = """
+import re
+import numpy as np, pyarrow as pa
+from ramify.llm import common
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+def run(batches):
+    for b in batches:
+        some = [np.ones(1 << 17) for _ in range(60)]
+        last = np.ones(1000)  # above the others, so that the heap can't shrink from its top alone
+        del some
+        yield b, last
+batch, before = pa.record_batch({"a": [1]}), held()
+kept = [x for x in common.tidy(run)(iter([batch]))]
+print(held() - before)
+"""
+    grown = float(subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout)
+    assert grown < 12
+
+
 def test_a_long_pair_by_parts_equals_plain_distance(monkeypatch):
     r = random.Random(18)
     for columns in (1, 3, 64):
