@@ -53,6 +53,8 @@ PART_ROWS, HELD = 500_000, 2_000_000
 PAIRS, SLICE = 1_000_000, 20_000
 #: Rows of blocks that are compared at once, and the bytes of a line beyond which pairs are compared one by one.
 AT_ONCE, LONG = 1 << 16, 8192
+#: Bytes of a row of a block that move: 4 of its bucket, 8 of its key, 16 of its sketch.
+ROW = 28
 #: Columns of a long pair between which its rows move.
 COLUMNS = 128
 PAD = np.full(GRAM - 1, 32, np.uint8)
@@ -229,9 +231,11 @@ def _bytes(column: pa.Array, count: int) -> np.ndarray:
 
 
 def _explode_blocks(chosen: np.ndarray, count: int, parts: int):
-    """(key, hashes, length) to a row of bytes for each part of the blocks: part, and rows of bucket, key, sketch as 32 bytes each.
+    """(key, hashes, length) to a row of bytes for each part of the blocks: part, and rows of bucket, key, sketch as ROW bytes each.
 
-    So the rows of the blocks, by far the most numerous, move as a few large values.
+    So the rows of the blocks, by far the most numerous, move as a few large values. Of a bucket's 64 bits, those that
+    tell its part aren't moved with each row: 32 others are, and tell the few thousand blocks of a part apart. Where two
+    blocks of a part have the same bits, their lines meet as if in one, and are compared as all are.
     """
     tables = len(chosen)
 
@@ -241,26 +245,36 @@ def _explode_blocks(chosen: np.ndarray, count: int, parts: int):
                 continue
             key, length = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             hashes = _bytes(batch.column(1), count)
-            rows = np.empty((len(key), tables, 4), np.int64)
+            part = np.empty((len(key), tables), np.int32)
+            rows = np.empty((len(key), tables, ROW // 4), np.uint32)
             with np.errstate(over="ignore"):
                 for t in range(tables):
                     value = np.full(len(key), t + 1, np.uint64)
                     for k in chosen[t]:
                         value = (value << np.uint64(8) | hashes[:, k]) if chosen.shape[1] < 7 else mix(value) + hashes[:, k]
-                    rows[:, t, 0] = mix(value).view(np.int64)
-            rows[:, :, 1] = key[:, None]
-            rows[:, :, 2:] = sketch(hashes, length)[:, None, :]
-            rows = rows.reshape(-1, 4)
-            part = (rows[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+                    value = mix(value)
+                    part[:, t] = value % np.uint64(parts)
+                    rows[:, t, 0] = value >> np.uint64(32)
+            rows[:, :, 1:] = np.concatenate([key[:, None], sketch(hashes, length)], 1).view(np.uint32)[:, None, :]
+            rows, part = rows.reshape(-1, ROW // 4), part.ravel()
             order = np.argsort(part, kind="stable")
             numbers, ends = np.unique(part[order], return_index=True)
-            ends = np.append(ends, len(part)).astype(np.int32) * 32
+            ends = np.append(ends, len(part)).astype(np.int32) * ROW
             data = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows[order]))])
             yield pa.RecordBatch.from_arrays([pa.array(numbers), data], ["part", "data"])
 
     return run
 
 
+def _block_rows(part: int, data: pa.Buffer) -> np.ndarray:
+    """(rows, 4) longs: bucket, key and sketch of a part's rows."""
+    rows = np.frombuffer(data, np.uint32).reshape(-1, ROW // 4)
+    out = np.empty((len(rows), 4), np.int64)
+    out[:, 0] = rows[:, 0] + np.int64(part << 32)
+    out[:, 1:] = rows[:, 1:].copy().view(np.int64)
+    return out
+
+
 def alike_steps(group: np.ndarray, sketches: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs of each run of equal groups whose sketches are alike, by their distance in the run.
 
@@ -332,8 +346,8 @@ def _close_in_blocks(batches: Iterator[pa.RecordBatch], lines: bool = False) ->
         return rows, np.repeat(np.diff(np.append(starts, len(rows))), np.diff(np.append(starts, len(rows))))
 
     for batch in batches:
-        for data in batch.column(1):
-            rows = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 4)
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = _block_rows(part, data.as_buffer())
             if len(passed):
                 known = np.isin(rows[:, 0], passed)
                 if known.any():

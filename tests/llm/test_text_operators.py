@@ -403,6 +403,41 @@ def test_line_groups_do_not_depend_on_how_many_rows_there_are(spark, monkeypatch
     assert len(few[1]) < len(pair[1]) / 2 and (few[0], few[1]) == (many[0], many[1])
 
 
+def test_block_rows_move_as_few_bytes():
+    """Lines of the same tuple meet, no others do, and a row takes 28 bytes on its way."""
+    rng = np.random.default_rng(3)
+    width, tables, count = line_dedup.settings(line_dedup.MANY)
+    chosen = line_dedup.members(width, tables, count)
+    hashes = rng.integers(0, 4, (400, count)).astype(np.uint8)  # few values, so that tuples are often equal
+    length, key = rng.integers(20, 200, 400).astype(np.int32), rng.integers(-(1 << 63), 1 << 63, 400)
+    flat = pa.Array.from_buffers(pa.binary(count), 400, [None, pa.py_buffer(hashes.tobytes())]).cast(pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(key), flat, pa.array(length)], ["key", "hashes", "length"])
+    found, moved = {}, 0
+    for out in line_dedup._explode_blocks(chosen, count, 12)(iter([batch])):
+        for part, data in zip(out.column(0).to_pylist(), out.column(1), strict=True):
+            moved += len(data.as_py())
+            for bucket, k, *s in line_dedup._block_rows(part, data.as_buffer()).tolist():
+                found.setdefault(bucket, []).append((k, *s))
+    assert moved <= 28 * 400 * tables
+    wanted = {}
+    for k, h, s in zip(key.tolist(), hashes, line_dedup.sketch(hashes, length).tolist(), strict=True):
+        for t, which in enumerate(chosen):
+            wanted.setdefault((t, *h[which].tolist()), []).append((k, *s))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+    assert max(map(len, wanted.values())) > 1
+
+
+def test_shuffle_files_go_when_a_scratch_table_is_written(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle" in x.rsplit("/", 1)[-1]}
+
+    before, scratch = held(), common.Scratch(spark)
+    table = scratch.write(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    assert not held() - before and sorted(x["count"] for x in table.collect()) == [714] * 5 + [715] * 2
+    assert spark.conf.get(common.CLEANUP, "false") == "false"
+
+
 def test_workers_hold_little_between_tasks(spark):
     """Powers for a long text aren't kept, batches fit the pooled buffers, and what a task frees goes back to the system."""
     powers, inverses = common._powers((1 << 21) + 1)
