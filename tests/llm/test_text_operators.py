@@ -691,3 +691,45 @@ def test_classifier_of_awkward_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality_classifier.classify(docs, labels, sample=50, sample_bytes=4000).collect()
     assert len(out) == 205 and all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.7) for x in out)
+
+
+@pytest.mark.parametrize("most", [common.LINKS_A_TASK, 60])
+def test_components_in_one_task_and_dealt(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "LINKS_A_TASK", most)
+    r = random.Random(3)
+    chain = list(range(1000, 1120))
+    r.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(5, i) for i in range(6, 90)] + [(r.randrange(2000, 2200), r.randrange(2000, 2200)) for _ in range(120)] + [(7, 7), (-3, 5), (5, -3)]
+    roots = Roots()
+    for a, b in edges:
+        roots.join(a, b)
+    want = {x: roots.find(x) for x in list(roots) if roots.find(x) != x}
+    scratch = common.Scratch(spark)
+    found = common.components(scratch, spark.createDataFrame(edges, "a long, b long").repartition(5), "few").collect()
+    assert len(found) == len(want) and {x["node"]: x["root"] for x in found} == want
+    assert common.components(scratch, spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
+def test_few_links_and_ids_do_not_run_once_per_partition(spark):
+    def ran():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        jobs = sc.statusStore().jobsList(None)
+        return {jobs.apply(i).jobId(): jobs.apply(i).numCompletedTasks() for i in range(jobs.size())}
+
+    held = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        start = ran()
+        table = common.id_bits(spark.range(2000))
+        jobs = [n for k, n in ran().items() if k not in start]
+        assert sum(bin(x).count("1") for x in table.tolist()) > 1990 and len(jobs) <= 3
+        start = ran()
+        edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")
+        assert {x["root"] for x in common.components(common.Scratch(spark), edges).collect()} == {0}
+        assert sum(n for k, n in ran().items() if k not in start) < 90
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
